@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import chat_format, url_vocabulary
+from . import chat_format, quality_rules, raking, url_vocabulary
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("clean_text")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.plan_mix(read(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_vocabulary.judge_urls(read(spark, sf_dir, "pages")).drop("terms")
 
@@ -23,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat_format.oracle(), "op9_url_filter": url_vocabulary.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op8_mix_sources": raking.oracle(), "op3_chat_formatting": chat_format.oracle(), "op9_url_filter": url_vocabulary.oracle()}
