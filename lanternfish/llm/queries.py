@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import chat_format, quality_rules, raking, url_vocabulary
+from . import arc_warc, chat_format, quality_rules, raking, url_vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.plan_mix(read(spark, sf_dir, "documents"))
 
@@ -31,4 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op8_mix_sources": raking.oracle(), "op3_chat_formatting": chat_format.oracle(), "op9_url_filter": url_vocabulary.oracle()}
+    return {
+        "op1_quality_rules": quality_rules.oracle(),
+        "op3_chat_formatting": chat_format.oracle(),
+        "op4_warc_round_trip": arc_warc.oracle(),
+        "op8_mix_sources": raking.oracle(),
+        "op9_url_filter": url_vocabulary.oracle(),
+    }
