@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import arc_warc, chat_format, quality_rules, raking, url_vocabulary
+from . import arc_warc, chat_format, lsh_forest, quality_rules, raking, url_vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read(spark, sf_dir, "conversations"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.oracle(),
+        "op2_near_duplicates": lsh_forest.oracle(3, 85),
         "op3_chat_formatting": chat_format.oracle(),
         "op4_warc_round_trip": arc_warc.oracle(),
         "op8_mix_sources": raking.oracle(),
