@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import arc_warc, chat_format, lsh_forest, quality_rules, raking, url_vocabulary
+from . import arc_warc, chat_format, lsh_forest, pattern_packing, quality_rules, raking, url_vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pattern_packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.plan_mix(read(spark, sf_dir, "documents"))
 
