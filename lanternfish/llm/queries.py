@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import arc_warc, chat_format, cross_parse, lsh_forest, pattern_packing, quality_rules, raking, url_vocabulary
+from . import arc_warc, chat_format, cross_parse, kneser_ney, lsh_forest, pattern_packing, quality_rules, raking, url_vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_vocabulary.judge_urls(read(spark, sf_dir, "pages")).drop("terms")
 
 
+def op10_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
