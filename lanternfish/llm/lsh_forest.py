@@ -83,9 +83,9 @@ def signatures(values: np.ndarray, at: np.ndarray, n: int = HASHES) -> np.ndarra
     return out
 
 
-def sketch(documents: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """id, n_shingles, s1, s2 (digest of the set) and the forest's prefix hashes by tree and depth."""
-    levels, order = depths(percent), orders()
+def sketch(documents: DataFrame, k: int, levels: list[int], key: str, text: str) -> DataFrame:
+    """id, n_shingles, s1, s2 (digest of the set) and the forest's prefix hashes by tree and level."""
+    order = orders()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -121,19 +121,40 @@ def sketch(documents: DataFrame, k: int, percent: int, key: str, text: str) -> D
     return documents.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(made, "doc bigint, n_shingles bigint, s1 bigint, s2 bigint, prefixes array<bigint>")
 
 
-def clusters(reps: DataFrame, percent: int) -> DataFrame:
-    """(node, root): documents that share a region with another one, by cluster."""
+def _only(rows: DataFrame, ids: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` whose ``column`` is among ``ids.name``, which are broadcast if they are few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, F.col(column) == F.col(name), "left_semi")
+
+
+def clusters(documents: DataFrame, reps: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """(node, root): documents that share a region with another one, by cluster.
+
+    A prefix hash names its tree too, so a region is one value.  Deeper prefixes
+    are only computed for the documents of regions that are too large.
+    """
     levels = depths(percent)
-    n = len(levels)
-    trees = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES * n - 1), F.lit(n)), lambda i: F.slice("prefixes", i + 1, n))).alias("tree", "p"))
-    rows = trees.select("rep", "tree", *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(n)], F.get("p", F.lit(0)).alias("region"))
-    for i in range(n - 1):  # deeper where a region is too large
-        large = rows.groupBy("tree", "region").count().where(F.col("count") > REGION).select(F.col("tree").alias("t"), F.col("region").alias("r"))
-        rows = rows.join(large, (F.col("tree") == F.col("t")) & (F.col("region") == F.col("r")), "left")
-        rows = rows.withColumn("region", F.when(F.col("t").isNotNull(), F.col(f"p{i + 1}")).otherwise(F.col("region"))).drop("t", "r")
-    rows = rows.select("tree", "region", "rep")
-    heads = rows.groupBy("tree", "region").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return components(rows.join(heads, ["tree", "region"]).select(F.col("rep").alias("a"), F.col("head").alias("b")), "regions")
+    rows = reps.select("rep", F.explode("prefixes").alias("region"))
+    edges = []
+    for depth in range(len(levels)):
+        last = depth + 1 == len(levels)
+        heads = rows.groupBy("region").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = store.cut(rows.join(heads, "region"), "regions")
+        edges.append((met if last else met.where(F.col("n") <= REGION)).select(F.col("rep").alias("a"), F.col("head").alias("b")))
+        if last:
+            break
+        large = met.where(F.col("n") > REGION)
+        if large.isEmpty():
+            break
+        wanted = store.cut(large.select(F.col("rep").alias("large_rep")).distinct(), "large")
+        again = sketch(_only(documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("body")), wanted, "id", "large_rep"), k, levels[depth : depth + 2], "id", "body")
+        pairs = again.where("n_shingles > 0").select(F.col("doc").alias("rep"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * TREES - 1), F.lit(2)), lambda i: F.slice("prefixes", i + 1, 2))).alias("p"))
+        cut = large.select(F.col("region").alias("large_region")).distinct()
+        rows = _only(pairs.select("rep", F.get("p", F.lit(0)).alias("was"), F.get("p", F.lit(1)).alias("region")), cut, "was", "large_region").select("rep", "region").distinct()
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.unionByName(more)
+    return components(found, "clusters")
 
 
 def meeting_keys(members: DataFrame, percent: int) -> DataFrame:
@@ -247,9 +268,7 @@ def confirm(documents: DataFrame, keys: DataFrame, k: int, percent: int, key: st
 
     spark = documents.sparkSession
     wanted = keys.select(F.col("rep").alias("wanted")).distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    docs = documents.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"))
-    docs = docs.join(F.broadcast(wanted) if few else wanted, F.col("rep") == F.col("wanted"), "left_semi")
+    docs = _only(documents.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text")), wanted, "rep", "wanted")
     full = store.cut(docs.mapInArrow(sets, "rep bigint, shingles binary").distinct(), "shingles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = keys.join(full, "rep").select("meet", "rep", "shingles").repartition(parts, "meet").sortWithinPartitions("meet")
@@ -258,10 +277,10 @@ def confirm(documents: DataFrame, keys: DataFrame, k: int, percent: int, key: st
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: id, n_shingles, component_id, kept (it is the group's smallest id)."""
-    slim = store.cut(sketch(documents, k, percent, key, text), "sketch")
+    slim = store.cut(sketch(documents, k, depths(percent)[:1], key, text), "sketch")
     reps = slim.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc", "n_shingles", "prefixes")).alias("x"))
     reps = store.cut(reps.select("s1", "s2", F.col("x.doc").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.prefixes").alias("prefixes")), "reps")
-    grouped = clusters(reps, percent)
+    grouped = clusters(documents, reps, k, percent, key, text)
     members = reps.select("rep", "n_shingles").join(grouped, F.col("rep") == F.col("node")).select("rep", "root", "n_shingles")
     keys = store.cut(meeting_keys(store.cut(members, "members"), percent), "meet")
     groups = components(confirm(documents, keys, k, percent, key, text), "links")
