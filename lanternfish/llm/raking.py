@@ -2,9 +2,11 @@
 
 Documents fall into cells of (source, language, topic) classes.  The token mass
 of the cells is raked in turn to the target marginals of each dimension until
-they hold together; the ratio of raked to present mass, scaled so that no ratio
-exceeds 1, is the probability with which a document of the cell is drawn.  A
-draw compares it with a hash of the id, so a rerun draws the same documents.
+they hold together; the ratio of raked to present mass, scaled so that the draw
+keeps KEEP of all tokens in expectation, is the probability with which a document
+of the cell is drawn.  A cell whose ratio would exceed 1 is taken whole, and the
+scale of the others makes up for it.  A draw compares the probability with a hash
+of the id, so a rerun draws the same documents.
 
 Classes are the values named in the targets, and ``other`` for the rest, so the
 number of cells is bounded by the parameters (at most 1,000 by default) and not
@@ -32,6 +34,7 @@ from . import store
 
 OTHER = "other"
 ROUNDS = 12
+KEEP = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 
 # Topics by marker words in four languages, in order of preference.
@@ -81,7 +84,7 @@ def _share(name: str, targets: dict[str, float]) -> Column:
     return share
 
 
-def rake(slim: DataFrame, targets: Targets, rounds: int = ROUNDS) -> DataFrame:
+def rake(slim: DataFrame, targets: Targets, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """A row a cell: source, lang, topic, tokens, probability."""
     cells = slim.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens")).coalesce(1)
     everything = Window.partitionBy(F.lit(1))
@@ -99,8 +102,19 @@ def rake(slim: DataFrame, targets: Targets, rounds: int = ROUNDS) -> DataFrame:
             now = F.sum("w").over(Window.partitionBy(d).orderBy(*[x for x in DIMENSIONS if x != d]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
             cells = cells.withColumn("w", F.coalesce(F.col("w") * F.col(f"aim_{d}") / F.nullif(now, F.lit(0.0)), F.lit(0.0)))
     ratio = F.col("w") / F.nullif(F.col("tokens"), F.lit(0.0))
-    cells = cells.withColumn("ratio", ratio).withColumn("top", F.max("ratio").over(everything))
-    probability = F.round(F.least(F.coalesce(F.col("ratio") / F.col("top"), F.lit(1.0)), F.lit(1.0)), 6)
+    by_ratio = everything.orderBy(F.desc_nulls_last("ratio"), *DIMENSIONS)
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("ratio", ratio).withColumns(
+        {
+            "nth": F.row_number().over(by_ratio),
+            "whole": F.coalesce(F.sum("tokens").over(before), F.lit(0.0)),
+            "rest": F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)),
+            "all": F.sum("tokens").over(everything),
+        }
+    )
+    cells = cells.withColumn("scale", (keep * F.col("all") - F.col("whole")) / F.nullif(F.col("rest"), F.lit(0.0)))
+    cells = cells.withColumn("scale", F.min(F.when(F.col("scale") * F.col("ratio") <= 1, F.struct("nth", "scale"))).over(everything)["scale"])
+    probability = F.round(F.least(F.coalesce(F.col("ratio") * F.col("scale"), F.lit(1.0)), F.lit(1.0)), 6)
     return cells.select(*DIMENSIONS, "tokens", probability.alias("probability"))
 
 
@@ -158,8 +172,13 @@ def oracle(targets: Targets | None = None) -> str:
   FROM w_{n} JOIN a_{d} USING ({d}))"""
             )
             n += 1
+    ctes.append(f"r AS MATERIALIZED (SELECT source, lang, topic, tokens, w, w / nullif(tokens, 0) AS ratio, sum(tokens) OVER () AS everything FROM w_{n})")
+    ctes.append(
+        f"""k AS MATERIALIZED (SELECT *, row_number() OVER o AS nth, ({KEEP} * everything - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / nullif(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale FROM r WINDOW o AS (ORDER BY ratio DESC NULLS LAST, source, lang, topic))"""
+    )
     ctes.append(
-        f"""p AS MATERIALIZED (SELECT source, lang, topic, round(least(coalesce((w / nullif(tokens, 0)) / max(w / nullif(tokens, 0)) OVER (), 1.0), 1.0), 6) AS probability FROM w_{n})"""
+        """p AS MATERIALIZED (SELECT source, lang, topic, round(least(coalesce(ratio * (SELECT arg_min(scale, nth) FROM k WHERE scale * ratio <= 1), 1.0), 1.0), 6) AS probability FROM k)"""
     )
     return f"""WITH {", ".join(ctes)}
 SELECT doc_id, source, lang, topic, n_tokens, probability,
