@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import arc_warc, chat_format, cross_parse, kneser_ney, lsh_forest, pattern_packing, quality_rules, raking, url_vocabulary
+from . import arc_warc, chat_format, cross_parse, kneser_ney, lsh_forest, pattern_packing, phrase_fingerprint, quality_rules, raking, url_vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
