@@ -9,7 +9,9 @@ The hash of a prefix is the XOR of hashes of (position, role, text), in two
 independent 64-bit halves.  XOR is associative, so a conversation may be split
 over range partitions: positions and prefixes are first taken in each part and
 then shifted by the parts before it.  No conversation, whatever its length, has
-to fit one task, and rendering gives one row for every CHUNK turns.
+to fit one task, and rendering gives one row for every CHUNK turns.  Hashes are
+taken once, when the turns are ordered; from there on only narrow rows move,
+and the texts of the conversations that stay are joined in at the end.
 
 Defined results: turns go by (turn, role, text), nulls first; rows equal in all
 four columns count once; two rows of one turn that differ both count.  A null
@@ -34,30 +36,35 @@ def _quoted(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
-def prefix_hashes(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row a turn: conv_id, pos (from 1), n_turns, h1 and h2 of the turns so far, role, text."""
+def ordered_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The distinct turns in order: conv_id, part (a range of them), seq (rising), role, text, and hashes x1 and x2."""
     spark = conversations.sparkSession
     rows = conversations.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).distinct()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "conv_id", "turn", "role", "text").withColumn("part", F.spark_partition_id())
-    rows = store.cut(rows, "turns")
-    inner = Window.partitionBy("part", "conv_id").orderBy("turn", "role", "text")
+    order = ["conv_id", "turn", "role", "text"]
+    half = lambda salt: F.xxhash64(F.lit(salt), F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.select("conv_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "role", "text", half(1).alias("x1"), half(2).alias("x2"))
+    return store.cut(rows, "turns")
+
+
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """A row a turn: conv_id, seq, pos (from 1), n_turns, h1 and h2 of the turns so far."""
+    inner = Window.partitionBy("part", "conv_id").orderBy("seq")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
+    rows = turns.select("conv_id", "part", "seq", "x1", "x2")
     counts = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"), F.sum("n").over(whole).alias("n_turns"))
     same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["part"] == b["part"])
     local = rows.withColumn("at", F.row_number().over(inner))
-    placed = local.join(counts, same(local, counts)).select(local["conv_id"], local["part"], (F.col("at") + F.col("shift")).alias("pos"), "n_turns", "role", "text")
-    half = lambda salt: F.xxhash64(F.lit(salt), "pos", F.coalesce("role", F.lit("\0null")), F.coalesce("text", F.lit("\0null")))
-    placed = placed.withColumns({"t1": half(1), "t2": half(2)})
-    sums = placed.groupBy("conv_id", "part").agg(F.bit_xor("t1").alias("x1"), F.bit_xor("t2").alias("x2"))
-    sums = sums.select("conv_id", "part", F.coalesce(F.bit_xor("x1").over(before), F.lit(0)).alias("b1"), F.coalesce(F.bit_xor("x2").over(before), F.lit(0)).alias("b2"))
-    running = Window.partitionBy("part", "conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = local.join(counts, same(local, counts)).select(local["conv_id"], local["part"], "seq", (F.col("at") + F.col("shift")).alias("pos"), "n_turns", "x1", "x2")
+    placed = placed.withColumns({"t1": F.xxhash64("pos", "x1"), "t2": F.xxhash64(F.lit(2), "pos", "x2")}).drop("x1", "x2")
+    sums = placed.groupBy("conv_id", "part").agg(F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"))
+    sums = sums.select("conv_id", "part", F.coalesce(F.bit_xor("s1").over(before), F.lit(0)).alias("b1"), F.coalesce(F.bit_xor("s2").over(before), F.lit(0)).alias("b2"))
+    running = inner.rowsBetween(Window.unboundedPreceding, 0)
     inside = placed.withColumns({"r1": F.bit_xor("t1").over(running), "r2": F.bit_xor("t2").over(running)})
-    return inside.join(sums, same(inside, sums)).select(
-        inside["conv_id"], "pos", "n_turns", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"), "role", "text"
-    )
+    return inside.join(sums, same(inside, sums)).select(inside["conv_id"], "seq", "pos", "n_turns", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"))
 
 
 def collapse(prefixes: DataFrame) -> DataFrame:
@@ -71,20 +78,22 @@ def collapse(prefixes: DataFrame) -> DataFrame:
     return last.join(fate, keys).select("conv_id", "n_turns", kept.alias("kept"), F.when(~kept, F.when(F.col("inner_of"), F.col("cover")).otherwise(F.col("first_id"))).alias("covered_by"))
 
 
-def render(prefixes: DataFrame, fates: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def render(turns: DataFrame, prefixes: DataFrame, fates: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The conversations that stay, as marked-up text: a row for every ``chunk`` turns."""
     kept = fates.where("kept").select(F.col("conv_id").alias("id"))
-    turns = prefixes.join(kept, F.col("conv_id").eqNullSafe(F.col("id")), "left_semi")
+    places = prefixes.select("conv_id", "seq", "pos").join(kept, F.col("conv_id").eqNullSafe(F.col("id")), "left_semi")
     piece = F.concat(F.lit(OPEN), _quoted(F.coalesce("role", F.lit("unknown"))), F.lit("\n"), _quoted(F.col("text")), F.lit(CLOSE + "\n"))
-    grouped = turns.select("conv_id", F.floor((F.col("pos") - 1) / chunk).alias("chunk"), F.struct("pos", piece.alias("piece")).alias("x")).groupBy("conv_id", "chunk")
+    pieces = places.join(turns.select("seq", piece.alias("piece")), "seq")
+    grouped = pieces.select("conv_id", F.floor((F.col("pos") - 1) / chunk).alias("chunk"), F.struct("pos", "piece").alias("x")).groupBy("conv_id", "chunk")
     return grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "").alias("rendered"))
 
 
 def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """conv_id, n_turns, kept, covered_by, chunk, rendered; one row a conversation that goes."""
-    prefixes = store.cut(prefix_hashes(conversations), "prefixes")
+    turns = ordered_turns(conversations)
+    prefixes = store.cut(prefix_hashes(turns), "prefixes")
     fates = store.cut(collapse(prefixes), "fates")
-    texts = render(prefixes, fates, chunk).select(F.col("conv_id").alias("id"), "chunk", "rendered")
+    texts = render(turns, prefixes, fates, chunk).select(F.col("conv_id").alias("id"), "chunk", "rendered")
     return fates.join(texts, F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", "n_turns", "kept", "covered_by", F.coalesce("chunk", F.lit(0)).alias("chunk"), "rendered")
 
 
