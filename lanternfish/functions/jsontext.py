@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -60,6 +61,25 @@ def cell_texts(value: Column) -> Column:
     return F.coalesce(_json_leaves(F.when(looks_json(value), value)), F.array(value))
 
 
+# Keys under which a value is taken for a path, and what a path looks like.
+PATH_KEY = re.compile(r"path|file", re.IGNORECASE)
+PATH_VALUE = re.compile(r"[/\\][^/\\\s]+|^[A-Za-z]:[/\\]")
+
+
+def paths_under(node, inside: bool = False) -> list[str]:
+    """String values that look like paths, under path-like keys at any depth."""
+    if isinstance(node, dict):
+        return [x for k, v in node.items() for x in paths_under(v, inside or bool(PATH_KEY.search(str(k))))]
+    if isinstance(node, list):
+        return [x for v in node for x in paths_under(v, inside)]
+    return [_clean(node)] if inside and isinstance(node, str) and PATH_VALUE.search(node) else []
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def path_leaves(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda r: paths_under(_load(r)) if r else [])
+
+
 def fp(value: str) -> str:
     return hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16]
 

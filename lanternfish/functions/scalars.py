@@ -79,7 +79,7 @@ def fmt_bytes(n: Column) -> Column:
     """A byte count with a unit: whole bytes, else one decimal."""
     x, shown = n.cast("double"), F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        shown = F.when(x >= 1024.0**i, F.format_string(f"%.1f {unit}", x / 1024.0**i)).otherwise(shown)
+        shown = F.when(x >= 1024.0**i, F.format_string(f"%.1f {unit}", F.bround(x / 1024.0**i, 1))).otherwise(shown)
     return shown
 
 

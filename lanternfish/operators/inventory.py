@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
 import json
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.jsontext import leaves_of
+from ..functions.jsontext import path_leaves
 
 ROW = ["id", "origin", "title", "project", "created", "last_activity", "user_msgs", "assistant_msgs", "tool_calls", "files_touched", "prompt", "empty_flag"]
 
@@ -54,44 +54,11 @@ def message_counts(messages: DataFrame) -> DataFrame:
     )
 
 
-def _path_leaves(raw: Column) -> Column:
-    """String values under path-like keys that look like paths, by an Arrow UDF."""
-    import re
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    key, value = re.compile(r"path|file", re.I), re.compile(r"[/\\][^/\\\s]+|^[A-Za-z]:[/\\]")
-
-    def under(node, inside: bool, out: list[str]) -> list[str]:
-        if isinstance(node, dict):
-            for k, v in node.items():
-                under(v, inside or bool(key.search(str(k))), out)
-        elif isinstance(node, list):
-            for v in node:
-                under(v, inside, out)
-        elif isinstance(node, str) and inside and value.search(node):
-            out.extend(leaves_of(node))
-        return out
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(cells: pd.Series) -> pd.Series:
-        def one(cell):
-            try:
-                return under(json.loads(cell), False, []) if cell else []
-            except (ValueError, RecursionError):
-                return []
-
-        return cells.map(one)
-
-    return run(raw)
-
-
 def tool_counts(tool_calls: DataFrame) -> DataFrame:
     """session_id, tool_calls, files_touched of rows (session_id, tool_call_json, tool_call_update_json)."""
     counts = tool_calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("tool_calls"))
     cells = tool_calls.select("session_id", F.explode(F.array("tool_call_json", "tool_call_update_json")).alias("cell")).where("cell IS NOT NULL")
-    paths = cells.select("session_id", F.explode(_path_leaves(F.col("cell"))).alias("path")).distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("files_touched"))
+    paths = cells.select("session_id", F.explode(path_leaves(F.col("cell"))).alias("path")).distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("files_touched"))
     return counts.join(paths, "session_id", "left").select("session_id", "tool_calls", F.coalesce("files_touched", F.lit(0)).alias("files_touched"))
 
 
@@ -216,10 +183,16 @@ def byte_estimates(sessions: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose key is NOT IN the parents': a null key, or any null parent, is never an orphan."""
-    children.createOrReplaceTempView("__children")
-    parents.createOrReplaceTempView("__parents")
-    return children.sparkSession.sql(f"SELECT * FROM __children WHERE `{child_key}` NOT IN (SELECT `{parent_key}` FROM __parents)")
+    """Child rows whose key is NOT IN the parents', as SQL has it.
+
+    A null key, or any null parent, is never an orphan; without parents every
+    row is one.  SQL's own NOT IN broadcasts all parents; this is a shuffled anti
+    join and one row of counts.
+    """
+    keys = parents.select(F.col(parent_key).alias("__key"))
+    counts = keys.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__key").isNull()).alias("__nulls"))
+    lone = children.join(keys.distinct(), F.col(child_key) == F.col("__key"), "left_anti").join(F.broadcast(counts))
+    return lone.where((F.col("__n") == 0) | ((F.col("__nulls") == 0) & F.col(child_key).isNotNull())).drop("__n", "__nulls")
 
 
 def orphan_totals(rows: DataFrame, n: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection
+from . import backups, detection, sessions
 
-MODULES = [detection]
+MODULES = [detection, sessions, backups]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
