@@ -259,6 +259,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """ARC, converted to WARC files in the shared folder, read back: a row a page."""
     spark = pages.sparkSession
+    store.small_batches(spark)
     kind = dict(pages.dtypes)[key]
     records = convert(pages_to_arc(pages, key, url, payload))
     path = store.new_path(spark, "warc")

@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import texthash
+from . import store, texthash
 
 SAMPLE_DOCS = 48
 SAMPLE_CHARS = 800
 ALPHABET = 96
 SHARED = 16
 SEGMENT = 256
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
 #: A text that needs this many phrases per letter for every language is none of them.
 HOPELESS = 0.8
@@ -181,7 +182,7 @@ def judge(samples: tuple[tuple[str, str], ...], column: pa.Array) -> tuple[list[
     model = _model(samples)
     body, off = texthash.utf8(column)
     langs, scores, rates = [], [], []
-    for a, b in texthash.slices(off):
+    for a, b in texthash.slices(off, SLICE_BYTES):
         counts, size = model.phrases(body[off[a] : off[b]], off[a : b + 1] - off[a])
         if not model.langs:
             langs += [UNKNOWN] * (b - a)
@@ -206,6 +207,7 @@ def learn(documents: DataFrame, learnable: Column, key: str = "doc_id", text: st
     """
     order = [F.xxhash64(F.col(key)), F.col(key)]
     top = Window.partitionBy("lang").orderBy(*order)
+    store.small_batches(documents.sparkSession)
     rows = documents.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = rows.select(F.col(key), F.col(lang).alias("lang")).withColumn("n", F.row_number().over(top)).where(F.col("n") <= SAMPLE_DOCS)
     chosen = ids.select(F.col(key).alias("chosen"), F.col("lang").alias("chosen_lang")).distinct()

@@ -45,7 +45,8 @@ SLACK = 1.05
 TABLE_ROWS = 4_000_000
 #: Ids that are sent to every task rather than joined by a shuffle: 8 bytes each.
 BROADCAST_IDS = 500_000
-HELD = 2_000_000
+HELD = 500_000
+SLICE_BYTES = 512 << 10
 START, ASTRAL = 2, 0xFFFF
 U = np.uint64
 
@@ -89,7 +90,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
                 body, off = texthash.utf8(batch.column(1).filter(pa.array(langs == lang)))
-                for a, b in texthash.slices(off):
+                for a, b in texthash.slices(off, SLICE_BYTES):
                     keys, _ = grams(body[off[a] : off[b]], off[a : b + 1] - off[a])
                     held.setdefault(lang, []).append(np.unique(keys, return_counts=True))
                 if sum(len(k) for k, _ in held[lang]) > HELD:
@@ -99,6 +100,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
         for lang, parts in held.items():
             yield from rows(lang, *merged(parts))
 
+    store.small_batches(trusted.sparkSession)
     found = trusted.select("lang", "text").mapInArrow(counted, "lang string, gram bigint, c bigint")
     return found.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -152,7 +154,8 @@ class Table:
         self.langs = {x: i for i, x in enumerate(langs)}
         keys = self.key(kind, lang, gram)
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-        self.slots, self.keys, self.values = np.full(1 << self.bits, -1, np.int32), keys, value
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys, self.values = (keys, value) if len(keys) else (np.zeros(1, np.uint64), np.zeros(1))
         place, left = (keys >> U(64 - self.bits)).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = self.slots[place[left]] < 0
@@ -210,6 +213,7 @@ _tables: dict[str, Table] = {}
 def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column: str, largest: int = TABLE_ROWS) -> DataFrame:
     """``documents`` with the log perplexity of each text in ``column`` (null without a model)."""
     spark = documents.sparkSession
+    store.small_batches(spark)
     if model.limit(largest + 1).count() > largest:
         return score_by_shards(documents, model, text, lang, column)
     sent, name = _broadcast(spark, model), uuid.uuid4().hex
@@ -225,7 +229,7 @@ def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column:
             code = np.array([table.langs.get(x, -1) for x in batch.column(at_lang).to_pylist()], np.int64)
             body, off = texthash.utf8(batch.column(at_text))
             out = np.full(batch.num_rows, np.nan)
-            for a, b in texthash.slices(off):
+            for a, b in texthash.slices(off, SLICE_BYTES):
                 k, at = grams(body[off[a] : off[b]], off[a : b + 1] - off[a])
                 of_doc = np.maximum(code[a:b], 0).astype(np.uint64)
                 lp = table.log_p(k, np.repeat(of_doc, np.diff(at)))
@@ -241,7 +245,8 @@ def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column:
 def score_by_shards(documents: DataFrame, model: DataFrame, text: str, lang: str, column: str) -> DataFrame:
     """The same by joins of each document's distinct n-grams with the model's shards."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = store.cut(documents.repartition(parts).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    p = store.free_prefix(documents)
+    rows = store.cut(documents.repartition(parts).withColumn(f"{p}row", F.monotonically_increasing_id()), "rows")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +259,8 @@ def score_by_shards(documents: DataFrame, model: DataFrame, text: str, lang: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column(0)[i].as_py())), pa.array([batch.column(1)[i].as_py()] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "lang", "k", "n"])
 
     langs = model.select("lang").distinct()
-    known = rows.join(F.broadcast(langs.withColumnRenamed("lang", "__known")), F.col(lang) == F.col("__known"), "left_semi")
-    found = known.select("__row", F.col(lang), F.col(text)).mapInArrow(listed, "row bigint, lang string, k bigint, n bigint")
+    known = rows.join(F.broadcast(langs.withColumnRenamed("lang", f"{p}known")), F.col(lang) == F.col(f"{p}known"), "left_semi")
+    found = known.select(f"{p}row", F.col(lang), F.col(text)).mapInArrow(listed, "row bigint, lang string, k bigint, n bigint")
     found = found.groupBy("lang", "k", "row").agg(F.sum("n").alias("n"))
     found = found.withColumns({"value": F.lit(0.0), "open": F.lit(True)})
 
@@ -271,8 +276,8 @@ def score_by_shards(documents: DataFrame, model: DataFrame, text: str, lang: str
             whole = F.col("k") if order == ORDER - 1 else F.col("k").bitwiseAND(_mask(order + 1))
             found = add(found, 10 + order, F.shiftrightunsigned(whole, 16), False)
         found = add(found, order, F.col("k").bitwiseAND(_mask(order)), True)
-    sums = found.groupBy("row").agg((-F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(column))
-    return rows.join(sums, F.col("__row") == F.col("row"), "left").select(*documents.columns, column)
+    sums = found.groupBy(F.col("row").alias(f"{p}at")).agg((-F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(column))
+    return rows.join(sums, F.col(f"{p}row") == F.col(f"{p}at"), "left").select(*documents.columns, column)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -285,39 +290,48 @@ def _semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("trusted_id"), "left_semi")
 
 
-def adjusted(column: str, chars: Column) -> Column:
+def adjusted(log_ppl: Column, chars: Column, mean: Column) -> Column:
     """The log perplexity with PRIOR characters of the language's mean added."""
-    return (F.col(column) * chars + PRIOR * F.col("mean")) / (chars + PRIOR)
+    return (log_ppl * chars + PRIOR * mean) / (chars + PRIOR)
 
 
-def thresholds(scored: DataFrame, ids: DataFrame, column: str, key: str, lang: str, quantile: float = QUANTILE) -> DataFrame:
-    """(of_lang, mean, most): a language's mean log perplexity, and the adjusted one above which documents are rejected."""
-    known = _semi(scored.select(F.col(key), F.col(lang).alias("of_lang"), F.col(column), F.col("__chars")), ids, key).where(F.col(column).isNotNull())
-    means = known.groupBy("of_lang").agg((F.sum(F.col(column) * F.col("__chars")) / F.sum("__chars")).alias("mean"))
-    met = known.join(F.broadcast(means), "of_lang").select("of_lang", "mean", adjusted(column, F.col("__chars")).alias("x"))
+def thresholds(scored: DataFrame, ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(of_lang, mean, most): a language's mean log perplexity, and the adjusted one above which documents are rejected.
+
+    ``scored``: id, lang, log_ppl, chars.
+    """
+    known = _semi(scored, ids, "id").where("log_ppl IS NOT NULL").withColumnRenamed("lang", "of_lang")
+    means = known.groupBy("of_lang").agg((F.sum(F.col("log_ppl") * F.col("chars")) / F.sum("chars")).alias("mean"))
+    met = known.join(F.broadcast(means), "of_lang").select("of_lang", "mean", adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean")).alias("x"))
     return store.cut(met.groupBy("of_lang", "mean").agg((F.percentile_approx("x", quantile, 10_000) + F.log(F.lit(SLACK))).alias("most")), "thresholds")
 
 
+def _trained(documents: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
+    """The trusted ids, and the model of their documents."""
+    slim = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    ids = store.cut(trusted_ids(labels), "trusted")
+    return ids, train(_semi(slim, ids, "id").where("lang IS NOT NULL"))
+
+
 def judge(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """A row a document: id, lang, perplexity, adjusted perplexity, threshold, kept."""
-    slim = documents.select(F.col(key), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    ids = store.cut(trusted_ids(labels), "trusted")
-    model = train(_semi(slim, ids, key).where("lang IS NOT NULL"))
+    ids, model = _trained(documents, labels, key, text, lang)
+    slim = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     scored = score(slim, model, "text", "lang", "log_ppl")
-    scored = store.cut(scored.select(key, "lang", "log_ppl", F.length("text").alias("__chars")), "scored")
-    limits = thresholds(scored, ids, "log_ppl", key, "lang", quantile)
-    met = scored.join(F.broadcast(limits), F.col("lang") == F.col("of_lang"), "left")
-    own = adjusted("log_ppl", F.col("__chars"))
+    scored = store.cut(scored.select("id", "lang", "log_ppl", F.length("text").alias("chars")), "scored")
+    met = scored.join(F.broadcast(thresholds(scored, ids, quantile)), F.col("lang") == F.col("of_lang"), "left")
+    own = adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean"))
     kept = F.coalesce(own <= F.col("most"), F.lit(True))
-    return met.select(key, "lang", F.exp("log_ppl").alias("perplexity"), F.exp(own).alias("adjusted_perplexity"), F.exp("most").alias("threshold"), kept.alias("kept"))
+    return met.select(F.col("id").alias(key), "lang", F.exp("log_ppl").alias("perplexity"), F.exp(own).alias("adjusted_perplexity"), F.exp("most").alias("threshold"), kept.alias("kept"))
 
 
 def reject(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """The documents that are not above their language's threshold, with all their columns."""
-    ids = store.cut(trusted_ids(labels), "trusted")
-    slim = documents.select(F.col(key), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    model = train(_semi(slim, ids, key).where("lang IS NOT NULL"))
-    scored = store.cut(score(documents, model, text, lang, "__log_ppl").withColumn("__chars", F.length(text)), "scored")
-    limits = thresholds(scored, ids, "__log_ppl", key, lang, quantile)
-    met = scored.join(F.broadcast(limits), F.col(lang) == F.col("of_lang"), "left")
-    return met.where(F.coalesce(adjusted("__log_ppl", F.col("__chars")) <= F.col("most"), F.lit(True))).select(*documents.columns)
+    ids, model = _trained(documents, labels, key, text, lang)
+    p = store.free_prefix(documents)
+    log_ppl, chars = F.col(f"{p}log_ppl"), F.col(f"{p}chars")
+    scored = store.cut(score(documents, model, text, lang, f"{p}log_ppl").withColumn(f"{p}chars", F.length(text)), "scored")
+    slim = scored.select(F.col(key).alias("id"), F.col(lang).alias("lang"), log_ppl.alias("log_ppl"), chars.alias("chars"))
+    limits = thresholds(slim, ids, quantile).select(*[F.col(c).alias(p + c) for c in ("of_lang", "mean", "most")])
+    met = scored.join(F.broadcast(limits), F.col(lang) == F.col(f"{p}of_lang"), "left")
+    return met.where(F.coalesce(adjusted(log_ppl, chars, F.col(f"{p}mean")) <= F.col(f"{p}most"), F.lit(True))).select(*documents.columns)

@@ -24,7 +24,8 @@ pair at the very threshold meets in no tree (below 1e-4; measured in the tests).
 
 Defined results: a document without words, or without text, has an empty set
 and links with nothing.  Repeated rows are copies of each other; rows of one id
-and different texts are one document with the links of both.  A null id
+and different texts are one document with the links of both (``keep_one`` keeps
+or drops them together).  A null id
 takes part, but never stands for a group that has another id.  Extra columns are
 ignored by ``near_duplicates``.  An empty table gives no rows.
 """
@@ -277,6 +278,7 @@ def confirm(documents: DataFrame, keys: DataFrame, k: int, percent: int, key: st
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: id, n_shingles, component_id, kept (it is the group's smallest id)."""
+    store.small_batches(documents.sparkSession)
     slim = store.cut(sketch(documents, k, depths(percent)[:1], key, text), "sketch")
     reps = slim.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc", "n_shingles", "prefixes")).alias("x"))
     reps = store.cut(reps.select("s1", "s2", F.col("x.doc").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.prefixes").alias("prefixes")), "reps")
@@ -292,10 +294,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, key: st
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that another one of their group stands for."""
-    gone = near_duplicates(documents, k, percent, key, text).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
+    name = store.free_prefix(documents) + "gone"
+    gone = near_duplicates(documents, k, percent, key, text).where(~F.col("kept")).select(F.col(key).alias(name)).distinct()
     gone = store.cut(gone, "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("__gone"), "left_anti")
+    return documents.join(F.broadcast(gone) if few else gone, F.col(key) == F.col(name), "left_anti")
 
 
 def oracle(k: int = 5, percent: int = 80) -> str:

@@ -251,4 +251,5 @@ def place(cut: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Data
 
 def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a piece of every document: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    store.small_batches(documents.sparkSession)
     return place(store.cut(pieces(documents, path, capacity, key, text), "pieces"), capacity, key)

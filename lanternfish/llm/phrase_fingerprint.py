@@ -175,6 +175,7 @@ def _chunks(batch: pa.RecordBatch, at_text: int) -> Iterator[pa.RecordBatch]:
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: id, n_chars, edited_sha256, both fingerprints and both likenesses."""
     spark = documents.sparkSession
+    store.small_batches(spark)
     kind = dict(documents.dtypes)[key]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
