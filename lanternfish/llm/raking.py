@@ -138,10 +138,11 @@ def mix(documents: DataFrame, targets: Targets | None = None, key: str = "doc_id
     """The documents drawn, with all their columns."""
     targets = targets or Targets()
     slim = documents.select(*[c.alias(n) for n, c in features(documents, targets).items()])
-    cells = store.cut(rake(slim, targets), "cells").select(*[F.col(d).alias(f"__c_{d}") for d in DIMENSIONS], "probability")
-    wide = documents.withColumns({n: c for n, c in features(documents, targets, "__").items() if n != "__n_tokens"})
-    met = wide.join(F.broadcast(cells.withColumnRenamed("probability", "__probability")), [wide[f"__{d}"] == F.col(f"__c_{d}") for d in DIMENSIONS])
-    return met.where(chance(F.col(key)) < F.col("__probability")).select(*documents.columns)
+    p = store.free_prefix(documents)
+    cells = store.cut(rake(slim, targets), "cells").select(*[F.col(d).alias(f"{p}c_{d}") for d in DIMENSIONS], F.col("probability").alias(f"{p}probability"))
+    wide = documents.withColumns({n: c for n, c in features(documents, targets, p).items() if n != f"{p}n_tokens"})
+    met = wide.join(F.broadcast(cells), [F.col(f"{p}{d}") == F.col(f"{p}c_{d}") for d in DIMENSIONS])
+    return met.where(chance(F.col(key)) < F.col(f"{p}probability")).select(*documents.columns)
 
 
 def oracle(targets: Targets | None = None) -> str:
