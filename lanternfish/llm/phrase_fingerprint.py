@@ -166,7 +166,7 @@ def _schema(doc: pa.DataType) -> pa.Schema:
     return pa.schema([("kind", i), ("part", i), ("doc", doc), ("n_chars", pa.int64()), ("edited_sha256", s), ("fingerprint", s), ("edited_fingerprint", s), ("near_edited", d), ("near_next", d), ("text", s)])
 
 
-def _chunks(batch: pa.RecordBatch, at_text: int) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of a bounded number of rows, so few texts are decoded at once."""
     for i in range(0, batch.num_rows, 512):
         yield batch.slice(i, 512)
@@ -185,7 +185,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, schema, part = None, None, 0
         for batch in batches:
-            for chunk in _chunks(batch, 1):
+            for chunk in _chunks(batch):
                 schema = schema or _schema(chunk.column(0).type)
                 docs, texts = chunk.column(0).to_pylist(), chunk.column(1).to_pylist()
                 if not docs:
@@ -212,7 +212,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     def bordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in _chunks(batch, 1):
+            for chunk in _chunks(batch):
                 texts, following = chunk.column(1).to_pylist(), chunk.column(2).to_pylist()
                 if texts:
                     yield _rows(_schema(chunk.column(0).type), 0, 0, chunk.column(0).to_pylist(), texts, following, sketch(texts), sketch(following))
