@@ -19,6 +19,8 @@ from .scan import FINDING
 EDGE_LEAVES = 8
 TAIL_WINDOW = 160
 RUN_MIN = 12
+#: Row ids of one range; the rows at its end find the next range's first by a join.
+RANGE = 100_000
 RUN = "[A-Za-z0-9_+/.~=-]+"
 MARKERS = ["AKIA", "ASIA", "sk-", "sk_live_", "rk_live_", "AIza", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "eyJ", "-----BEGIN"]
 CONTEXTS = [
@@ -87,6 +89,19 @@ def inside_units(made: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return _unknown(_scan(texts), known, "location")
 
 
+def with_next(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Rows with ``nxt``, a struct of the next row's id and columns in the order of ids within ``by``."""
+    nxt = F.struct("rowid", *columns)
+    ranged = rows.withColumn("__range", F.floor(F.col("rowid") / RANGE))
+    inside = ranged.withColumn("__inside", F.lead(nxt).over(Window.partitionBy(*by, "__range").orderBy("rowid")))
+    firsts = ranged.groupBy(*by, "__range").agg(F.min_by(nxt, "rowid").alias("__first"))
+    after = firsts.select(*by, "__range", F.lead("__first").over(Window.partitionBy(*by).orderBy("__range")).alias("__after")).where("__after IS NOT NULL")
+    after = after.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__at"), "__after")
+    met = [inside[c].eqNullSafe(after[f"__{c}"]) for c in by]
+    ends = inside.join(after, [*met, F.col("__inside").isNull(), F.col("__range") == F.col("__at")], "left")
+    return ends.select(*rows.columns, F.coalesce("__inside", "__after").alias("nxt"))
+
+
 def across_rows(made: DataFrame, known: DataFrame | None = None, scoped: bool = False) -> DataFrame:
     """Values split over neighbouring rows of a table, in the order of their row ids.
 
@@ -95,8 +110,8 @@ def across_rows(made: DataFrame, known: DataFrame | None = None, scoped: bool =
     """
     by = ["file", "tab", "session_id"] if scoped else ["file", "tab"]
     narrow = made.select("file", "tab", "rowid", "session_id", "label", F.transform("head_texts", edge).alias("heads"), F.transform("tail_texts", edge).alias("tails"))
-    nxt = F.lead(F.struct("rowid", "session_id", "label", "heads")).over(Window.partitionBy(*by).orderBy("rowid"))
-    pairs = narrow.withColumn("nxt", nxt).where(F.col("nxt").isNotNull() & (F.col("session_id") != "") & (F.col("session_id") == F.col("nxt.session_id")))
+    pairs = with_next(narrow, by, ["session_id", "label", "heads"])
+    pairs = pairs.where(F.col("nxt").isNotNull() & (F.col("session_id") != "") & (F.col("session_id") == F.col("nxt.session_id")))
     open_ = F.exists("tails", lambda a: F.exists("nxt.heads", lambda b: maybe_split(a, b)))
     pairs = pairs.where(open_).select("file", "tab", "rowid", "tails", F.col("nxt.heads").alias("heads"), F.col("nxt.rowid").alias("next_rowid"), F.col("label").alias("location"), F.col("nxt.label").alias("combined_with"))
     left = made.select("file", "tab", "rowid", "tail_texts")

@@ -29,7 +29,7 @@ def target_type(path: Column, content: Column) -> Column:
 
 def targets(files: DataFrame) -> DataFrame:
     """file, type, content, by lower-case path."""
-    return files.select(F.col("path").alias("file"), target_type(F.col("path"), F.col("content")).alias("type"), "content").orderBy(F.lower("file"))
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), target_type(F.col("path"), F.col("content")).alias("type"), "content").orderBy(F.lower("file"))
 
 
 def texts(found: DataFrame) -> DataFrame:

@@ -77,3 +77,10 @@ def test_sarif_log_holds_no_secret(spark):
     result = log["runs"][0]["results"][0]
     assert log["version"] == "2.1.0" and result["level"] == "warning" and result["locations"][0]["physicalLocation"]["region"]["startLine"] == 2
     assert MAIL not in json.dumps(log) and result["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a/b.md"
+
+
+def test_neighbours_across_ranges(spark):
+    ids = [1, 2, 99_999, 100_000, 350_000, 350_001]
+    rows = spark.createDataFrame([("f", "m", i, "s") for i in ids] + [("f", "n", 5, "s")], "file string, tab string, rowid long, session_id string")
+    got = {(r.tab, r.rowid): r.nxt and r.nxt.rowid for r in chunks.with_next(rows, ["file", "tab"], ["session_id"]).collect()}
+    assert got == {("m", a): b for a, b in zip(ids, [*ids[1:], None], strict=True)} | {("n", 5): None}
