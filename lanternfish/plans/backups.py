@@ -92,7 +92,7 @@ def file_digests(spark, sf):
 
 
 SNAPS = """SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'pre-restore-' || CAST(o_orderkey AS STRING) WHEN o_orderkey % 9 = 1 THEN 'copy-' || CAST(o_orderkey AS STRING) ELSE '202401' || lpad(CAST(o_orderkey % 28 + 1 AS STRING), 2, '0') || 'T' || lpad(CAST(o_orderkey AS STRING), 6, '0') || 'Z' || CASE WHEN o_orderkey % 9 = 2 THEN '-2' ELSE '' END END AS name,
-  CASE WHEN o_orderkey % 9 = 3 THEN 'pre-restore' END AS kind, CAST(o_orderdate AS DATE) AS created_at, o_orderkey, o_custkey FROM orders WHERE o_orderkey < 900000"""
+  CASE WHEN o_orderkey % 9 = 3 THEN 'pre-restore' END AS kind, CAST(o_orderdate AS DATE) AS created_at, o_orderkey, o_custkey FROM orders"""
 
 
 def snapshot_listing(spark, sf):

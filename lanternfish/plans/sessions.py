@@ -8,8 +8,8 @@ from ..operators import inventory as inv
 from .seeds import MESSAGES, NOW, SESSIONS, TOOL_CALLS, view
 
 RULES = inv.Rules()
-TOOLS = """SELECT CAST(event_id % 150 AS STRING) AS session_id, event_id AS rowid,
-  '{"n":1,"file_path":"/src/f' || CAST(event_id % 9 AS STRING) || '.py","cmd":"/not/a/key"}' AS tool_call_json, CASE WHEN event_id % 2 = 0 THEN props ELSE NULL END AS tool_call_update_json FROM events WHERE event_id % 150 % 3 = 0"""
+TOOLS = """SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE 'gone' END || CAST(event_id % 150 AS STRING) AS session_id, event_id AS rowid,
+  '{"n":1,"file_path":"/src/f' || CAST(event_id % 9 AS STRING) || '.py","cmd":"/not/a/key"}' AS tool_call_json, CASE WHEN event_id % 2 = 0 THEN props ELSE NULL END AS tool_call_update_json FROM events"""
 ROWS_SQL = f"""sessions AS ({SESSIONS}), messages AS ({MESSAGES}), tools AS ({TOOLS}),
 m AS (SELECT session_id, count(*) FILTER (role = 'user') AS user_msgs, count(*) FILTER (role IS DISTINCT FROM 'user') AS assistant_msgs,
   coalesce(arg_min(text, rowid) FILTER (role = 'user' AND text <> ''), '') AS prompt FROM messages GROUP BY session_id),
@@ -80,7 +80,7 @@ def delete_plan(spark, sf):
 
 ORDER = "ORDER BY CASE WHEN tier = 'auto_delete' THEN 0 ELSE 1 END, id"
 GUI_META = """SELECT 'acp/' || CAST(event_id % 120 AS STRING) || '.db' AS file, event_id AS position, CASE event_id % 4 WHEN 0 THEN 'Title' WHEN 1 THEN 'createdAt' WHEN 2 THEN 'cwd' ELSE 'other' END AS key,
-  CASE event_id % 4 WHEN 0 THEN 'gui ' || CAST(event_id AS STRING) WHEN 1 THEN CAST(1700000000000 + event_id AS STRING) WHEN 2 THEN '/work/g' ELSE 'x' END AS value FROM events WHERE event_id < 1000"""
+  CASE event_id % 4 WHEN 0 THEN 'gui ' || CAST(event_id AS STRING) WHEN 1 THEN CAST(1700000000000 + event_id AS STRING) WHEN 2 THEN '/work/g' ELSE 'x' END AS value FROM events"""
 GUI_MESSAGES = """SELECT 'acp/' || CAST(event_id % 120 AS STRING) || '.db' AS file, CASE event_id % 3 WHEN 0 THEN 'user.prompt' WHEN 1 THEN 'agent.delta' ELSE 'tool_call' END AS kind FROM events"""
 GUI_FILES = f"SELECT DISTINCT 'acp/' || CAST(event_id % 120 AS STRING) || '.db' AS file, CAST({NOW} AS DOUBLE) AS mtime FROM events"
 
