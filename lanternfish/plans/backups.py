@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import publish, scan, snapshots
+from ..operators import publish, snapshots
+from ..sources import files
 from .detection import SECRET, _found
 from .seeds import FILES, NOW, view
 
@@ -166,7 +167,29 @@ SCALARS = """WITH r AS (SELECT o_orderkey, o_orderdate, o_orderkey * o_custkey A
 SELECT o_orderkey, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS shown,
   strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || CASE WHEN o_orderkey % 3 > 0 THEN '-' || CAST(o_orderkey % 3 AS VARCHAR) ELSE '' END AS name, 'a' || CAST(o_orderkey AS VARCHAR) AS title FROM r"""
 
+NAMED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/' || CAST(doc_id AS STRING) || '.DB' WHEN 1 THEN 'a.d/' || CAST(doc_id AS STRING) WHEN 2 THEN 'b/x.sqlite3' ELSE 'c/' || CAST(doc_id AS STRING) || '.md' END AS path,
+  CASE doc_id % 5 WHEN 0 THEN 'SQLite format 3' || chr(0) WHEN 1 THEN 'x' || chr(0) ELSE '' END || coalesce(text, '') AS body FROM documents"""
+
+
+def target_dispatch(spark, sf):
+    rows = view(spark, sf, NAMED.replace("chr(0)", "'~NUL~'")).withColumn("body", F.replace("body", F.lit("~NUL~"), F.lit("\0")))
+    return rows.select("doc_id", files.target_type(F.col("path"), F.encode("body", "UTF-8")).alias("type"))
+
+
+DISPATCH = "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) OR doc_id % 5 = 0 THEN 'sqlite' WHEN doc_id % 5 = 1 THEN 'binary' ELSE 'text' END AS type FROM documents"
+NAMES = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2024-01-01_d' || CAST(doc_id AS STRING) || '.md' WHEN 1 THEN 'j' || CAST(doc_id AS STRING) || '.json' ELSE 'n.md' END AS name,
+  CASE doc_id % 3 WHEN 1 THEN '{"session_id": "q' || CAST(doc_id AS STRING) || '"}' WHEN 2 THEN 'title' || chr(10) || 'session_id: m' || CAST(doc_id AS STRING) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS body FROM documents"""
+
+
+def export_ids(spark, sf):
+    return view(spark, sf, NAMES).select("doc_id", scalars.export_session_id(F.col("name"), F.col("body")).alias("session_id"))
+
+
+EXPORT_IDS = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'q' ELSE 'm' END || CAST(doc_id AS VARCHAR) AS session_id FROM documents"
+
 QUERIES = {
+    "target_dispatch": target_dispatch,
+    "export_ids": export_ids,
     "snapshot_verify": snapshot_verify,
     "snapshot_verified": snapshot_verified,
     "deletion_gate": deletion_gate,
@@ -184,6 +207,8 @@ QUERIES = {
     "scalar_functions": scalar_functions,
 }
 ORACLES = {
+    "target_dispatch": DISPATCH,
+    "export_ids": EXPORT_IDS,
     "snapshot_verify": VERIFY,
     "snapshot_verified": f"SELECT count(*) AS checked, count(*) FILTER (status <> 'ok') AS failed, coalesce(bool_and(status = 'ok'), true) AS ok FROM ({VERIFY})",
     "deletion_gate": GATE,

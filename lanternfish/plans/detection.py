@@ -160,6 +160,16 @@ SELECT 'store.db' AS file, 'api_key' AS category, 'aws_access_key_id' AS pattern
   substr(sha256('AK' || 'IA' || upper(substr(md5(session_id), 1, 16))), 1, 16) AS fingerprint, 'message_nodes.chat_message#rowid=' || CAST(nxt AS VARCHAR) AS combined_with
 FROM n WHERE nxt_session = session_id AND rowid % 2 = 0"""
 
+def cross_rows_scoped(spark, sf):
+    """The same for each session by itself: its rows are neighbours whatever lies between."""
+    rows = view(spark, sf, SPLITS.replace("conv_id * 1000 + turn AS rowid", "turn * CAST(1000000 AS BIGINT) + conv_id AS rowid"))
+    return chunks.across_rows(chunks.units(rows, ["chat_message"]), scoped=True).where("category = 'api_key'").select("location", "fingerprint", "combined_with")
+
+
+SCOPED = f"""WITH r AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
+SELECT 'message_nodes.chat_message#rowid=' || CAST(turn * CAST(1000000 AS BIGINT) + conv_id AS VARCHAR) AS location, substr(sha256('AK' || 'IA' || upper(substr(md5(CAST(conv_id AS VARCHAR)), 1, 16))), 1, 16) AS fingerprint,
+  'message_nodes.chat_message#rowid=' || CAST(nxt * CAST(1000000 AS BIGINT) + conv_id AS VARCHAR) AS combined_with FROM r WHERE turn % 2 = 0 AND nxt IS NOT NULL"""
+
 LEAVES = """SELECT 'store.db' AS file, 'tool_call_state' AS tab, event_id AS rowid, CAST(user_id AS STRING) AS session_id,
   '{"type":"text","parts":["start gh' || 'p_' || substr(md5(CAST(event_id AS STRING)), 1, 12) || '","' || substr(md5(CAST(event_id AS STRING)), 13, 16) || ' end"]}' AS tool_call_json, CAST(NULL AS STRING) AS tool_call_update_json FROM events"""
 
@@ -182,9 +192,6 @@ def sarif(spark, sf):
 SARIF = f"""WITH {_found(FILES)}
 SELECT file, {FP.format(v="value")} AS fingerprint, CASE WHEN {SECRET} THEN 'error' ELSE 'warning' END AS level, CAST(line AS INTEGER) AS start_line, category AS rule, 'match: ' || replace(pattern, '_', ' ') AS message FROM found"""
 
-EXPORTS = """SELECT 'exports/2024-01-' || lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0') || '_' || CAST(doc_id AS STRING) || '.md' AS file, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 's' || CAST(doc_id AS STRING) END AS frontmatter_id, doc_id FROM documents"""
-VERDICT_FILES = "SELECT 's' || CAST(doc_id AS STRING) AS session_id, CASE WHEN quality = 0 THEN 'BLOCKED' WHEN toxic = 1 THEN 'REVIEW' ELSE 'CLEAN' END AS hook_status FROM labels"
-
 QUERIES = {
     "scan_email": scan_email,
     "scan_all_detectors": scan_all,
@@ -197,6 +204,7 @@ QUERIES = {
     "project_names": project_names,
     "json_cells": json_cells,
     "cross_chunk_rows": cross_rows,
+    "cross_chunk_scoped": cross_rows_scoped,
     "cross_chunk_leaves": cross_leaves,
     "sarif_results": sarif,
 }
@@ -212,6 +220,7 @@ ORACLES = {
     "project_names": PROJECTS,
     "json_cells": JSON_CELLS,
     "cross_chunk_rows": CROSS,
+    "cross_chunk_scoped": SCOPED,
     "cross_chunk_leaves": CROSS_LEAVES,
     "sarif_results": SARIF,
 }

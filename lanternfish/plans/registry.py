@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backups, detection, sessions
+from . import backups, detection, sessions, streams
 
-MODULES = [detection, sessions, backups]
+MODULES = [detection, sessions, backups, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -68,3 +68,10 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+#: Turns of conversations with a key cut over each even turn and the next, as columns of a stream.
+SPLITS = [
+    "CAST(conv_id AS STRING) AS session_id",
+    "turn AS seq",
+    """CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || ' use AK' || 'IA' || upper(substr(md5(CAST(conv_id AS STRING)), 1, 6)) ELSE upper(substr(md5(CAST(conv_id AS STRING)), 7, 10)) || ' then ' || coalesce(text, '') END AS text""",
+]

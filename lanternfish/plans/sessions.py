@@ -215,7 +215,13 @@ def delete_rows(spark, sf):
     return inv.without(view(spark, sf, MESSAGES), gone).groupBy("session_id").agg(F.count(F.lit(1)).alias("messages"))
 
 
+def tier_lookup(spark, sf):
+    """Tiers of the users of all events; those without a session read as ``judge``."""
+    return inv.tier_of(view(spark, sf, "SELECT DISTINCT CAST(user_id AS STRING) AS id FROM events"), classified(spark, sf))
+
+
 QUERIES = {
+    "tier_lookup": tier_lookup,
     "session_inventory": session_inventory,
     "inventory_union": inventory_union,
     "classify_sessions": classify_sessions,
@@ -238,6 +244,7 @@ QUERIES = {
     "latest_session": latest_session,
 }
 ORACLES = {
+    "tier_lookup": f"{CLASSIFIED} SELECT id, coalesce(tier, 'judge') AS tier FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events) LEFT JOIN classified USING (id)",
     "session_inventory": f"WITH {ROWS_SQL} SELECT * FROM inv",
     "inventory_union": INVENTORY_UNION,
     "classify_sessions": f"{CLASSIFIED} SELECT id, title, project, score, tier, reason FROM classified",
