@@ -123,6 +123,16 @@ def _possible(text: Column, p: Pattern) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in p.needles])
 
 
+def each_hit(rows, *keep: str):
+    """One row a hit of ``text``: the columns kept and ``h``.
+
+    An outer explode, as for an inner one Spark first filters by the size of the
+    array, which means to match every text twice.
+    """
+    cleaned = rows.select(*keep, clean(F.col("text")).alias("text"))
+    return cleaned.select(*keep, F.explode_outer(hits(F.col("text"))).alias("h")).where(F.col("h").isNotNull())
+
+
 HIT = "array<struct<category:string,pattern:string,idx:int,start:int,line:int,hit:string,value:string,value_start:int>>"
 
 
@@ -138,17 +148,21 @@ def _as_hit(idx: int, p: Pattern):
     return row
 
 
+def clean(text: Column) -> Column:
+    """Text without the sentinels that mark matches."""
+    return F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")
+
+
 def hits(text: Column, patterns: tuple[Pattern, ...] = PATTERNS) -> Column:
-    """All matches of all patterns, in table order and then by offset.
+    """All matches of all patterns in a ``clean`` text, in table order and then by offset.
 
     Matches that hold a redaction tag are left out.  ``value`` is the sensitive
     part: group 1 of patterns that have one, else the whole match.
     """
-    clean = F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")
     found = []
     for idx, p in enumerate(patterns):
-        untagged = F.filter(spans(clean, p), lambda x: ~F.contains(x["hit"], F.lit(TAG)))
-        found.append(F.when(_possible(clean, p), F.transform(untagged, _as_hit(idx, p))).otherwise(F.array().cast(HIT)))
+        untagged = F.filter(spans(text, p), lambda x: ~F.contains(x["hit"], F.lit(TAG)))
+        found.append(F.when(_possible(text, p), F.transform(untagged, _as_hit(idx, p))).otherwise(F.array().cast(HIT)))
     return F.concat(*found)
 
 
@@ -198,6 +212,6 @@ def redact(text: Column) -> Column:
         )
         done = lambda a: F.struct(F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))).alias("text"), a["edits"].alias("edits"))
         none = state(F.lit(0), F.lit(""), F.array().cast(edit))
-        return F.aggregate(F.array_sort(F.transform(hits(t), candidate)), none, lambda a, c: F.when(c["start"] >= a["at"], take(a, c)).otherwise(a), done)
+        return F.aggregate(F.array_sort(F.transform(let(clean(t), lambda c: hits(c)), candidate)), none, lambda a, c: F.when(c["start"] >= a["at"], take(a, c)).otherwise(a), done)
 
     return let(text, whole)

@@ -60,7 +60,7 @@ def units(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def _scan(candidates: DataFrame) -> DataFrame:
     """Distinct findings in candidate texts (file, location, combined_with, candidate)."""
-    found = candidates.select("file", "location", "combined_with", F.explode(detect.hits(F.col("candidate"))).alias("h"))
+    found = detect.each_hit(candidates.withColumnRenamed("candidate", "text"), "file", "location", "combined_with")
     found = found.select("file", "location", "combined_with", F.col("h.category").alias("category"), F.col("h.pattern").alias("pattern"), F.col("h.idx").alias("idx"), F.col("h.value").alias("value"))
     one = found.groupBy("file", "location", "combined_with", "category", detect.fingerprint(F.col("value")).alias("fingerprint")).agg(F.min(F.struct("idx", "pattern", "value")).alias("m"))
     none = F.lit(None).cast("string")
@@ -85,7 +85,7 @@ def inside_units(made: DataFrame, known: DataFrame | None = None) -> DataFrame:
     split = lambda i, j: maybe_split(F.get("edges", i), F.get("edges", j))
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(near(i), lambda j: split(i, j)), lambda j: F.concat(F.get("leaves", i), F.get("leaves", j)))))
     whole = F.when(F.exists(F.sequence(F.lit(0), n - 2), lambda i: split(i, i + 1)), F.array("text")).otherwise(F.array().cast("array<string>"))
-    texts = with_edges.select("file", F.col("label").alias("location"), F.lit(None).cast("string").alias("combined_with"), F.explode(F.concat(whole, pairs)).alias("candidate"))
+    texts = with_edges.select("file", F.col("label").alias("location"), F.lit(None).cast("string").alias("combined_with"), F.explode(F.array_distinct(F.concat(whole, pairs))).alias("candidate"))
     return _unknown(_scan(texts), known, "location")
 
 
@@ -119,4 +119,4 @@ def across_rows(made: DataFrame, known: DataFrame | None = None, scoped: bool =
     met = pairs.join(left, ["file", "tab", "rowid"]).join(right, ["file", "tab", "next_rowid"])
     a, b = F.arrays_zip("tail_texts", "tails"), F.arrays_zip("head_texts", "heads")
     candidates = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: maybe_split(x["tails"], y["heads"])), lambda y: F.concat(x["tail_texts"], y["head_texts"]))))
-    return _unknown(_scan(met.select("file", "location", "combined_with", F.explode(candidates).alias("candidate"))), known, "location", "combined_with")
+    return _unknown(_scan(met.select("file", "location", "combined_with", F.explode(F.array_distinct(candidates)).alias("candidate"))), known, "location", "combined_with")

@@ -33,7 +33,7 @@ def _finding(**given: Column) -> list[Column]:
 
 def text_findings(files: DataFrame) -> DataFrame:
     """Findings in whole texts: every match, with its line."""
-    rows = files.select("file", F.explode(detect.hits(F.col("text"))).alias("h"))
+    rows = detect.each_hit(files, "file")
     return rows.select(
         *_finding(
             file=F.col("file"), category=F.col("h.category"), pattern=F.col("h.pattern"), kind=F.lit("pattern"),
@@ -45,7 +45,7 @@ def text_findings(files: DataFrame) -> DataFrame:
 def cell_findings(cells: DataFrame) -> DataFrame:
     """Findings in cells: JSON is scanned leaf by leaf, and the first of each (category, value) of a cell counts."""
     leaves = cells.where("value IS NOT NULL AND value <> ''").select("file", "location", F.posexplode(cell_texts(F.col("value"))).alias("leaf", "text"))
-    found = leaves.select("file", "location", "leaf", F.explode(detect.hits(F.col("text"))).alias("h")).select("file", "location", "leaf", "h.*", detect.fingerprint(F.col("h.value")).alias("fp"))
+    found = detect.each_hit(leaves, "file", "location", "leaf").select("file", "location", "leaf", "h.*", detect.fingerprint(F.col("h.value")).alias("fp"))
     first = Window.partitionBy("file", "location", "category", "fp").orderBy("leaf", "idx", "value_start")
     found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return found.select(

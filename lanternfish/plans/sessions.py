@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inventory as inv
-from .seeds import MESSAGES, NOW, SESSIONS, TOOL_CALLS, view
+from .seeds import MESSAGES, NOW, SESSIONS, view
 
 RULES = inv.Rules()
 TOOLS = """SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE 'gone' END || CAST(event_id % 150 AS STRING) AS session_id, event_id AS rowid,

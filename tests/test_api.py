@@ -103,3 +103,10 @@ def test_publish(spark, tmp_path):
     assert [(r.session_id, r.publication_status, r.hook_status) for r in rows.collect()] == [("a", "REVIEW", None), ("b", "CLEAN", "BLOCKED"), ("c", "MISSING", None)]
     one = overall.first()
     assert (one.publication_status, one.warnings, one.sessions_missing) == ("REVIEW", 2, 1)
+
+
+def test_command_line(spark, tree, capsys):
+    from lanternfish.__main__ import main
+
+    assert main(["verify", str(tree / "fine.txt")]) == 0 and main(["gate", str(tree / "store.db")]) == 1
+    assert main(["scan", str(tree / "notes.md")]) == 0 and "REVIEW" in capsys.readouterr().out
