@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect
+from ..functions.binding import let
 from ..functions.jsontext import cell_texts
 from .scan import FINDING
 
@@ -32,12 +33,16 @@ CONTEXTS = [
 
 def edge(text: Column) -> Column:
     """struct(head_len, tail_len, suspicious) of a payload."""
-    tail = F.regexp_extract(text, f"(?d){RUN}$", 0)
-    marked = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(tail, m) | F.startswith(m, tail))
     context = F.lit(False)
     for c in CONTEXTS:
         context = context | F.right(text, F.lit(TAIL_WINDOW)).rlike(detect.port_regex(c))
-    return F.struct(F.length(F.regexp_extract(text, f"^{RUN}", 0)).alias("head_len"), F.length(tail).alias("tail_len"), ((tail != "") & marked | context).alias("suspicious"))
+    head = F.length(F.regexp_extract(text, f"^{RUN}", 0))
+
+    def described(tail: Column) -> Column:
+        marked = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(tail, m) | F.startswith(m, tail))
+        return F.struct(head.alias("head_len"), F.length(tail).alias("tail_len"), ((tail != "") & marked | context).alias("suspicious"))
+
+    return let(F.regexp_extract(text, f"(?d){RUN}$", 0), described)
 
 
 def maybe_split(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import reachable
+
 H = "md5(CAST(doc_id AS STRING))"
 SEEDS = [
     f"'sk-' || 'proj-' || {H}",
@@ -61,6 +63,7 @@ TOOL_CALLS = """SELECT event_id AS rowid, CAST(user_id AS STRING) AS session_id,
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the driver's tables of one folder; views are named for the run."""
+    reachable(spark)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql}
     for t, df in tables.items():
         df.createOrReplaceTempView(t)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,9 +24,22 @@ def build_session(app: str = "lanternfish", cpus: str | None = None, partitions:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return reachable(spark)
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    The driver may have found it by ``sys.path`` alone, which workers do not see.
+    On a cluster the package has to be installed, or sent along, as usual.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
 
 
 def read(spark: SparkSession, sf_dir: str, table: str):
     """One table of a scale-factor folder, by a path only Spark has to open."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
