@@ -41,7 +41,7 @@ SAMPLE_CHARS = 800
 ALPHABET = 96
 SHARED = 16
 SEGMENT = 256
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 #: A text that needs this many phrases per letter for every language is none of them.
 HOPELESS = 0.8
@@ -117,13 +117,17 @@ class Model:
         known = place[low] > 0
         code[known] = place[low[known]]
         self.code, self.width = code, len(common) + 1 + SHARED
-        machines = [suffix_automaton(code[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist() if t else []) for t in texts]
-        self.roots = np.cumsum([2, *map(len, machines)])[:-1].astype(np.int32)
-        self.table = np.zeros((2 + sum(map(len, machines)), self.width), np.int32)
-        for root, machine in zip(self.roots.tolist(), machines, strict=True):
+        parts, roots, size = [np.zeros((2, self.width), np.int32)], [], 2
+        for t in texts:  # one automaton at a time, as dictionaries take more room than the table
+            machine = suffix_automaton(code[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist() if t else [])
+            part = np.zeros((len(machine), self.width), np.int32)
             for i, row in enumerate(machine):
                 for c, to in row.items():
-                    self.table[root + i, c] = root + to
+                    part[i, c] = size + to
+            parts.append(part)
+            roots.append(size)
+            size += len(machine)
+        self.roots, self.table = np.array(roots, np.int32), np.concatenate(parts)
         self.table *= self.width  # states are row offsets into the flat table
         self.flat = self.table.ravel()
 
@@ -172,7 +176,7 @@ class Model:
         return counts, size
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
@@ -231,6 +235,7 @@ def identify(documents: DataFrame, key: str = "doc_id", text: str = "text", lang
         for batch in batches:
             langs, scores, _ = judge(samples, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[key, "held_out", "lang_pred", "score"])
+        texthash.give_back()
 
     rows = documents.select(F.col(key), held_out.alias("held_out"), F.col(text))
     return rows.mapInArrow(predicted, f"`{key}` {dict(documents.dtypes)[key]}, held_out boolean, lang_pred string, score double")
@@ -246,5 +251,6 @@ def reject(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
             langs, _, rates = judge(samples, batch.column(at))
             good = np.array([x != UNKNOWN for x in langs], bool) & (rates < HOPELESS)
             yield batch.filter(pa.array(good))
+        texthash.give_back()
 
     return documents.mapInArrow(kept, documents.schema).select(*columns)

@@ -99,6 +99,8 @@ def count_grams(trusted: DataFrame) -> DataFrame:
                         yield from rows(lang, *held.pop(lang)[0])
         for lang, parts in held.items():
             yield from rows(lang, *merged(parts))
+        held.clear()
+        texthash.give_back()
 
     store.small_batches(trusted.sparkSession)
     found = trusted.select("lang", "text").mapInArrow(counted, "lang string, gram bigint, c bigint")
@@ -238,6 +240,7 @@ def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column:
                     out[a:b][full] = -np.add.reduceat(lp, at[:-1][full]) / np.diff(at)[full]
             values = pa.array(out, pa.float64(), mask=(code < 0) | np.isnan(out))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, column])
+        texthash.give_back()
 
     return documents.mapInArrow(scored, T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())]))
 

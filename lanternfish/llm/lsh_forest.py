@@ -118,6 +118,7 @@ def sketch(documents: DataFrame, k: int, levels: list[int], key: str, text: str)
                     [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists],
                     names=["doc", "n_shingles", "s1", "s2", "prefixes"],
                 )
+        texthash.give_back()
 
     return documents.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(made, "doc bigint, n_shingles bigint, s1 bigint, s2 bigint, prefixes array<bigint>")
 
@@ -245,6 +246,7 @@ def confirm(documents: DataFrame, keys: DataFrame, k: int, percent: int, key: st
                 values, to = texthash.distinct(*texthash.shingles(h, at, k))
                 packed = [values[to[i] : to[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["rep", "shingles"])
+        texthash.give_back()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meet, reps, held = None, [], []
@@ -266,6 +268,7 @@ def confirm(documents: DataFrame, keys: DataFrame, k: int, percent: int, key: st
                 reps.append(rep)
                 held.append(np.frombuffer(shingles.as_buffer(), np.uint64))
         yield from links()
+        texthash.give_back()
 
     spark = documents.sparkSession
     wanted = keys.select(F.col("rep").alias("wanted")).distinct()

@@ -7,7 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 8 << 20
+from ..session import reachable
+
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +30,11 @@ def free_prefix(df: DataFrame) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of text that Python workers get at once (rows alone do not).
+    """Bound the bytes of text that Python workers get at once (rows alone do not), and let them import this package.
 
     A session setting, as Spark reads it when a plan runs; a smaller one stays.
     """
+    reachable(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, "64m").rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:

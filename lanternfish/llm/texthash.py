@@ -9,6 +9,7 @@ inverse base; a final mixer spreads them.  No Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
