@@ -14,12 +14,20 @@ the trusted documents (labelled good and not toxic), all of them.
    n-grams of each document are joined to the table's shards.  Both ways give
    the same numbers.
 4. A short text's perplexity says little, so it is drawn to the mean of the
-   language's trusted text, which counts as PRIOR further characters.  The
-   threshold of a language is the QUANTILE of its trusted documents' perplexities
-   so adjusted, times SLACK, and documents above it are rejected.
+   language's trusted text, which counts as PRIOR further characters.  As a mean
+   over a long text hides a few bad words, a text's peak is judged too: the
+   highest perplexity of any WINDOW characters in a row.
+5. The thresholds of a language are the QUANTILE of the adjusted perplexities and
+   that of the peaks of its trusted documents.  For the peaks each trusted document
+   is scored by a model of the other folds, as any 4-gram that it alone has is no
+   surprise to a model of its own; copies of a text share a fold.  Adjusted
+   perplexities are those under the whole model, which is the stricter of the two.
+   Documents above either threshold are rejected.
 
 Defined results: a null or empty text, or one whose language is null or has no
-trusted text, has no perplexity and is kept, as nothing speaks against it.  Trusted means at least
+trusted text, has no perplexity and is kept, as nothing speaks against it.  A text
+of fewer than WINDOW characters has no peak.  A language whose trusted text is all
+in one fold takes its peaks from the whole model.  Trusted means at least
 one label row says so.  Repeated rows give repeated rows, and count as often in
 training.  Characters beyond the basic plane count as one.  Extra columns are
 ignored by ``judge`` and kept by ``reject``.
@@ -41,7 +49,8 @@ from . import store, texthash
 ORDER = 4
 PRIOR = 64
 QUANTILE = 0.995
-SLACK = 1.05
+WINDOW = 6
+FOLDS = 2
 TABLE_ROWS = 4_000_000
 #: Ids that are sent to every task rather than joined by a shuffle: 8 bytes each.
 BROADCAST_IDS = 500_000
@@ -71,6 +80,21 @@ def grams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[own], at
 
 
+def peaks(cost: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The highest mean cost of WINDOW characters in a row of each text; nan for shorter texts."""
+    size, out = np.diff(at), np.full(len(at) - 1, np.nan)
+    long = np.flatnonzero(size >= WINDOW)
+    if len(long):
+        total = np.zeros(len(cost) + 1)
+        np.cumsum(cost, out=total[1:])
+        mean = np.full(len(cost), -np.inf)
+        mean[: len(cost) - WINDOW + 1] = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+        for j in range(1, WINDOW):  # windows that reach into the next text
+            mean[at[1:][size >= j] - j] = -np.inf
+        out[long] = np.maximum.reduceat(mean, at[:-1][size > 0])[size[size > 0] >= WINDOW]
+    return out
+
+
 def count_grams(trusted: DataFrame) -> DataFrame:
     """(lang, gram, c): the 4-grams of columns ``lang`` and ``text``."""
 
@@ -213,7 +237,7 @@ _tables: dict[str, Table] = {}
 
 
 def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column: str, largest: int = TABLE_ROWS) -> DataFrame:
-    """``documents`` with the log perplexity of each text in ``column`` (null without a model)."""
+    """``documents`` with the log perplexity of each text in ``column`` (null without a model) and its peak's in ``column``_peak."""
     spark = documents.sparkSession
     store.small_batches(spark)
     if model.limit(largest + 1).count() > largest:
@@ -230,7 +254,7 @@ def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column:
         for batch in batches:
             code = np.array([table.langs.get(x, -1) for x in batch.column(at_lang).to_pylist()], np.int64)
             body, off = texthash.utf8(batch.column(at_text))
-            out = np.full(batch.num_rows, np.nan)
+            out, top = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
             for a, b in texthash.slices(off, SLICE_BYTES):
                 k, at = grams(body[off[a] : off[b]], off[a : b + 1] - off[a])
                 of_doc = np.maximum(code[a:b], 0).astype(np.uint64)
@@ -238,11 +262,12 @@ def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column:
                 full = np.flatnonzero(np.diff(at))
                 if len(full):
                     out[a:b][full] = -np.add.reduceat(lp, at[:-1][full]) / np.diff(at)[full]
-            values = pa.array(out, pa.float64(), mask=(code < 0) | np.isnan(out))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, column])
+                    top[a:b] = peaks(-lp, at)
+            values = [pa.array(x, pa.float64(), mask=(code < 0) | np.isnan(x)) for x in (out, top)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, column, f"{column}_peak"])
         texthash.give_back()
 
-    return documents.mapInArrow(scored, T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())]))
+    return documents.mapInArrow(scored, T.StructType([*documents.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (column, f"{column}_peak")]]))
 
 
 def score_by_shards(documents: DataFrame, model: DataFrame, text: str, lang: str, column: str) -> DataFrame:
@@ -279,8 +304,24 @@ def score_by_shards(documents: DataFrame, model: DataFrame, text: str, lang: str
             whole = F.col("k") if order == ORDER - 1 else F.col("k").bitwiseAND(_mask(order + 1))
             found = add(found, 10 + order, F.shiftrightunsigned(whole, 16), False)
         found = add(found, order, F.col("k").bitwiseAND(_mask(order)), True)
-    sums = found.groupBy(F.col("row").alias(f"{p}at")).agg((-F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(column))
-    return rows.join(sums, F.col(f"{p}row") == F.col(f"{p}at"), "left").select(*documents.columns, column)
+    sums = found.groupBy(F.col("row").alias(f"{p}at")).agg((-F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(column), F.collect_list("k").alias(f"{p}ks"), F.collect_list("value").alias(f"{p}values"))
+    met = rows.join(sums, F.col(f"{p}row") == F.col(f"{p}at"), "left").select(*documents.columns, column, f"{p}ks", f"{p}values")
+    at_text = documents.columns.index(text)
+
+    def peaked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, off = texthash.utf8(batch.column(at_text))
+            top = np.full(batch.num_rows, np.nan)
+            for i in range(batch.num_rows):
+                if batch.column(batch.num_columns - 2)[i].is_valid:
+                    keys, values = (batch.column(batch.num_columns - j)[i].values.to_numpy(zero_copy_only=False) for j in (2, 1))
+                    by_key = np.argsort(keys)
+                    k, at = grams(body[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+                    top[i] = peaks(-values[by_key][np.searchsorted(keys[by_key], k.view(np.int64))], at)[0]
+            kept = batch.columns[: batch.num_columns - 2]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(top, pa.float64(), mask=np.isnan(top))], names=[*batch.schema.names[: len(kept)], f"{column}_peak"])
+
+    return met.mapInArrow(peaked, T.StructType([*documents.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (column, f"{column}_peak")]]))
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -298,43 +339,59 @@ def adjusted(log_ppl: Column, chars: Column, mean: Column) -> Column:
     return (log_ppl * chars + PRIOR * mean) / (chars + PRIOR)
 
 
-def thresholds(scored: DataFrame, ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(of_lang, mean, most): a language's mean log perplexity, and the adjusted one above which documents are rejected.
+def thresholds(scored: DataFrame, held: DataFrame, ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(of_lang, mean, most, most_peak): a language's mean log perplexity, and the adjusted one and the peak above which documents are rejected.
 
-    ``scored``: id, lang, log_ppl, chars.
+    ``scored``: id, lang, log_ppl, log_ppl_peak, chars; ``held``: lang and log_ppl_peak of trusted documents, scored out of sample.
     """
     known = _semi(scored, ids, "id").where("log_ppl IS NOT NULL").withColumnRenamed("lang", "of_lang")
     means = known.groupBy("of_lang").agg((F.sum(F.col("log_ppl") * F.col("chars")) / F.sum("chars")).alias("mean"))
-    met = known.join(F.broadcast(means), "of_lang").select("of_lang", "mean", adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean")).alias("x"))
-    return store.cut(met.groupBy("of_lang", "mean").agg((F.percentile_approx("x", quantile, 10_000) + F.log(F.lit(SLACK))).alias("most")), "thresholds")
+    met = known.join(F.broadcast(means), "of_lang").select("of_lang", "mean", adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean")).alias("x"), "log_ppl_peak")
+    found = met.groupBy("of_lang", "mean").agg(F.percentile_approx("x", quantile, 10_000).alias("most"), F.percentile_approx("log_ppl_peak", quantile, 10_000).alias("own_peak"))
+    peak = held.groupBy(F.col("lang").alias("held_lang")).agg(F.percentile_approx("log_ppl_peak", quantile, 10_000).alias("held_peak"))
+    found = found.join(peak, F.col("of_lang") == F.col("held_lang"), "left")
+    return store.cut(found.select("of_lang", "mean", "most", F.coalesce("held_peak", "own_peak").alias("most_peak")), "thresholds")
+
+
+def within_limits(own: Column, most: Column, peak: Column, most_peak: Column) -> Column:
+    """Whether neither is above its threshold; what is missing does not speak against a document."""
+    return F.coalesce(own <= most, F.lit(True)) & F.coalesce(peak <= most_peak, F.lit(True))
 
 
-def _trained(documents: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
-    """The trusted ids, and the model of their documents."""
+def _trained(documents: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The trusted ids, the model of their documents, and these as scored by models of the other folds."""
     slim = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     ids = store.cut(trusted_ids(labels), "trusted")
-    return ids, train(_semi(slim, ids, "id").where("lang IS NOT NULL"))
+    trusted = _semi(slim, ids, "id").where("lang IS NOT NULL").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("string"))
+    # Models are trained together: that of all text of a language under "=" and its name, that without a fold under the fold and its name.
+    without = [F.when(F.col("fold") != str(f), F.concat(F.lit(str(f)), "lang")) for f in range(FOLDS)]
+    models = train(trusted.select(F.explode(F.array_compact(F.array(F.concat(F.lit("="), "lang"), *without))).alias("lang"), "text"))
+    whole = F.col("lang").startswith("=")
+    held = score(trusted.withColumn("other", F.concat("fold", "lang")), models.where(~whole), "text", "other", "log_ppl")
+    return ids, models.where(whole).withColumn("lang", F.expr("substr(lang, 2)")), held.select("lang", "log_ppl_peak")
 
 
 def judge(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """A row a document: id, lang, perplexity, adjusted perplexity, threshold, kept."""
-    ids, model = _trained(documents, labels, key, text, lang)
+    """A row a document: id, lang, perplexity, adjusted perplexity, peak, their thresholds, kept."""
+    ids, model, held = _trained(documents, labels, key, text, lang)
     slim = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     scored = score(slim, model, "text", "lang", "log_ppl")
-    scored = store.cut(scored.select("id", "lang", "log_ppl", F.length("text").alias("chars")), "scored")
-    met = scored.join(F.broadcast(thresholds(scored, ids, quantile)), F.col("lang") == F.col("of_lang"), "left")
-    own = adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean"))
-    kept = F.coalesce(own <= F.col("most"), F.lit(True))
-    return met.select(F.col("id").alias(key), "lang", F.exp("log_ppl").alias("perplexity"), F.exp(own).alias("adjusted_perplexity"), F.exp("most").alias("threshold"), kept.alias("kept"))
+    scored = store.cut(scored.select("id", "lang", "log_ppl", "log_ppl_peak", F.length("text").alias("chars")), "scored")
+    met = scored.join(F.broadcast(thresholds(scored, held, ids, quantile)), F.col("lang") == F.col("of_lang"), "left")
+    own, peak = adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean")), F.col("log_ppl_peak")
+    kept = within_limits(own, F.col("most"), peak, F.col("most_peak"))
+    shown = [F.exp(c).alias(name) for c, name in ((F.col("log_ppl"), "perplexity"), (own, "adjusted_perplexity"), (F.col("most"), "threshold"), (peak, "peak"), (F.col("most_peak"), "peak_threshold"))]
+    return met.select(F.col("id").alias(key), "lang", *shown, kept.alias("kept"))
 
 
 def reject(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """The documents that are not above their language's threshold, with all their columns."""
-    ids, model = _trained(documents, labels, key, text, lang)
+    """The documents that are above neither threshold of their language, with all their columns."""
+    ids, model, held = _trained(documents, labels, key, text, lang)
     p = store.free_prefix(documents)
-    log_ppl, chars = F.col(f"{p}log_ppl"), F.col(f"{p}chars")
+    log_ppl, peak, chars = F.col(f"{p}log_ppl"), F.col(f"{p}log_ppl_peak"), F.col(f"{p}chars")
     scored = store.cut(score(documents, model, text, lang, f"{p}log_ppl").withColumn(f"{p}chars", F.length(text)), "scored")
-    slim = scored.select(F.col(key).alias("id"), F.col(lang).alias("lang"), log_ppl.alias("log_ppl"), chars.alias("chars"))
-    limits = thresholds(slim, ids, quantile).select(*[F.col(c).alias(p + c) for c in ("of_lang", "mean", "most")])
+    slim = scored.select(F.col(key).alias("id"), F.col(lang).alias("lang"), log_ppl.alias("log_ppl"), peak.alias("log_ppl_peak"), chars.alias("chars"))
+    limits = thresholds(slim, held, ids, quantile).select(*[F.col(c).alias(p + c) for c in ("of_lang", "mean", "most", "most_peak")])
     met = scored.join(F.broadcast(limits), F.col(lang) == F.col(f"{p}of_lang"), "left")
-    return met.where(F.coalesce(adjusted(log_ppl, chars, F.col(f"{p}mean")) <= F.col(f"{p}most"), F.lit(True))).select(*documents.columns)
+    own = adjusted(log_ppl, chars, F.col(f"{p}mean"))
+    return met.where(within_limits(own, F.col(f"{p}most"), peak, F.col(f"{p}most_peak"))).select(*documents.columns)

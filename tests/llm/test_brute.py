@@ -239,6 +239,28 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert share(1, 0) >= 0.98 and share(0, 0) <= 0.3
 
 
+def test_quality_rejects_insults_in_good_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = kneser_ney.judge(docs, labels).join(labels, "doc_id").collect()
+    share = lambda q, t: np.mean([not r.kept for r in rows if (r.quality, r.toxic) == (q, t)])
+    assert share(1, 1) >= 0.4 and share(1, 0) <= 0.02 and min(share(0, 0), share(0, 1)) >= 0.93
+
+
+def test_peaks_are_windows_within_a_text(spark):
+    r = np.random.default_rng(4)
+    at = np.array([0, 0, 3, 9, 9, 40, 41, 47])
+    cost = r.random(at[-1])
+    w = kneser_ney.WINDOW
+    want = [max([cost[i : i + w].mean() for i in range(a, b - w + 1)], default=np.nan) for a, b in zip(at[:-1], at[1:], strict=True)]
+    np.testing.assert_allclose(kneser_ney.peaks(cost, at), want)
+    train = ["abcab cabba bcabc", "cab abc bac abcba"]
+    model = kneser_ney.train(spark.createDataFrame([("de", t) for t in train], "lang string, text string"))
+    docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate([*train, "abc zzzzzz cab", "ab", "", None])], "i int, text string, lang string")
+    by_table, by_join = ({x.i: x.z_peak for x in kneser_ney.score(docs, model, "text", "lang", "z", *n).collect()} for n in ((), (0,)))
+    assert by_table[2] > by_table[0] and by_table[3] is by_table[4] is by_table[5] is None
+    assert by_join == pytest.approx(by_table)
+
+
 def test_raking_meets_its_targets(spark):
     r = np.random.default_rng(2)
     rows = [(f"src{r.integers(0, 3)}", "en" if r.random() < 0.8 else "de", "being" if r.random() < 0.5 else "place", int(x)) for x in r.integers(1, 100, 4000)]
