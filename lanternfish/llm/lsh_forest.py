@@ -1,12 +1,12 @@
 """Near-duplicate documents by an LSH forest, confirmed on full shingle sets.
 
 1. A vectorised pass over the texts gives each document its set of k-word
-   shingles (as 64-bit hashes), the set's 128-bit digest and HASHES minhashes.
+   shingles (as 64-bit hashes), the set's 128-bit digest and its minhashes.
    Documents with equal digests have equal sets; one of them, that with the
    smallest id, stands for all, so large groups of copies shrink by partial
    aggregation before anything else happens.
-2. Every tree of the forest is the same signature in another order.  Sorted by
-   that order, documents whose signatures agree on a prefix are neighbours; a
+2. Every tree of the forest has minhashes of its own, as many as it can be deep,
+   so trees fail independently.  Sorted by them, documents whose signatures agree on a prefix are neighbours; a
    region is a run of neighbours with a common prefix of the tree's depth.  The
    depth adapts: a region of more than REGION documents is cut by one more
    value, as far as the chance of losing a pair at the threshold in every tree
@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 from . import store, texthash
 from .components import components
 
-HASHES = 96
 TREES = 24
 FIRST_DEPTH = 4
 MISS = 1e-4
@@ -63,17 +62,16 @@ def depths(percent: int, trees: int = TREES, first: int = FIRST_DEPTH, miss: flo
     return found
 
 
-def orders(hashes: int = HASHES, trees: int = TREES, depth: int = 12) -> np.ndarray:
-    """For each tree the order of signature positions; first positions differ between trees."""
-    step = hashes // trees
-    return np.array([[(t * step + j * (1 if j < step else 7)) % hashes for j in range(depth)] for t in range(trees)])
+def orders(depth: int, trees: int = TREES) -> np.ndarray:
+    """For each tree its signature positions; no position is in two trees."""
+    return np.arange(trees * depth).reshape(trees, depth)
 
 
 def _multipliers(n: int) -> np.ndarray:
     return texthash.mix(np.arange(SEED, SEED + n, dtype=np.uint64)) | np.uint64(1)
 
 
-def signatures(values: np.ndarray, at: np.ndarray, n: int = HASHES) -> np.ndarray:
+def signatures(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Minhashes (32 bits) of every set; sets must not be empty."""
     out = np.empty((len(at) - 1, n), np.uint32)
     for j, m in enumerate(_multipliers(n)):
@@ -86,7 +84,7 @@ def signatures(values: np.ndarray, at: np.ndarray, n: int = HASHES) -> np.ndarra
 
 def sketch(documents: DataFrame, k: int, levels: list[int], key: str, text: str) -> DataFrame:
     """id, n_shingles, s1, s2 (digest of the set) and the forest's prefix hashes by tree and level."""
-    order = orders()
+    order = orders(levels[-1])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -103,7 +101,7 @@ def sketch(documents: DataFrame, k: int, levels: list[int], key: str, text: str)
                     starts = to[:-1][full]
                     s1[full] = np.add.reduceat(texthash.mix(values + np.uint64(17)), starts)
                     s2[full] = np.add.reduceat(texthash.mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                    sig = signatures(values, np.append(starts, len(values)))
+                    sig = signatures(values, np.append(starts, len(values)), order.size)
                     prefixes = np.empty((len(full), len(order), len(levels)), np.uint64)
                     for t, places in enumerate(order):
                         x = np.full(len(full), t + 1, np.uint64)

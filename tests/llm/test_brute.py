@@ -76,6 +76,14 @@ def test_forest_depths_bound_the_loss():
             assert d == lsh_forest.FIRST_DEPTH or (1 - (percent / 100) ** d) ** lsh_forest.TREES <= lsh_forest.MISS
 
 
+def test_trees_share_no_hashes():
+    for percent in (80, 85):
+        deepest = lsh_forest.depths(percent)[-1]
+        order = lsh_forest.orders(depth=deepest)
+        places = order[:, :deepest].ravel()
+        assert order.shape[0] == lsh_forest.TREES and len(set(places.tolist())) == lsh_forest.TREES * deepest
+
+
 def test_word_hashes_follow_words():
     import pyarrow as pa
 
