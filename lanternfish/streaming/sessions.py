@@ -1,12 +1,14 @@
 """Ended sessions as a stream: scan each, write a verdict, carry split values over.
 
 ``scan_ended`` runs the batch operators on every micro-batch; ``split_over``
-keeps, for each session, the end of its last payload, so a value cut between two
-payloads is found even if they arrive in different batches.
+keeps, for each session, its last payload and whatever before it is not finished,
+so a value cut between payloads is found whole even if they arrive in different
+batches.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +21,28 @@ from ..functions.detect import PATTERNS, TAG, python_regex
 from ..functions.jsontext import fp
 from ..operators import scan
 
-TAIL = 400
+#: Characters in front of a word that may belong to it, as a header's name does.
+CONTEXT = 400
+BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
+END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY-----")
+ASSIGNMENT = next(python_regex(p) for p in PATTERNS if p.name == "env_assignment")
+
+
+def unfinished(joined: str, border: int) -> int:
+    """Where the part of ``joined`` starts that the next payload may go on with.
+
+    At most ``border``, where its last payload starts; before that, an open private
+    key, an assignment on the last line, and the last word with CONTEXT in front.
+    """
+    starts = [border, max(0, len(joined) - CONTEXT)]
+    closed = max((m.end() for m in END.finditer(joined)), default=0)
+    opened = BEGIN.search(joined, closed)
+    if opened:
+        starts.append(opened.start())
+    starts += [m.start() for m in ASSIGNMENT.finditer(joined) if m.end() == len(joined)]
+    gap = next((i for i in range(len(joined) - 1, -1, -1) if joined[i].isspace()), -1)
+    starts.append(max(0, gap + 1 - CONTEXT))
+    return min(starts)
 
 
 def session_verdicts(payloads: DataFrame) -> DataFrame:
@@ -54,12 +77,12 @@ def split_over(payloads: DataFrame) -> DataFrame:
         before = state.get[0] if state.exists else ""
         found = []
         for text in rows["text"].fillna(""):
-            border, joined = len(before), before + text[:TAIL]
+            border, joined = len(before), before + text
             for p in PATTERNS:
                 for m in python_regex(p).finditer(joined):
                     if m.start() < border < m.end() and TAG not in m[0]:
                         found.append((key[0], p.category, fp(m[p.group])))
-            before = (before + text)[-TAIL:]
+            before = joined[unfinished(joined, border) :]
         state.update((before,))
         yield pd.DataFrame(found, columns=["session_id", "category", "fingerprint"])
 
