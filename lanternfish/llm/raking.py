@@ -4,8 +4,11 @@ Documents fall into cells of (source, language, topic) classes.  The token mass
 of the cells is raked in turn to the target marginals of each dimension until
 they hold together; the ratio of raked to present mass, scaled so that the draw
 keeps KEEP of all tokens in expectation, is the probability with which a document
-of the cell is drawn.  A cell whose ratio would exceed 1 is taken whole, and the
-scale of the others makes up for it.  A draw compares the probability with a hash
+of the cell is drawn.  In ``plan_mix``, whose SQL says so, a cell whose ratio would
+exceed 1 is taken whole and the scale of the others makes up for it, which misses
+the targets.  ``mix`` draws by ``bounded``: masses are raked under the bound of what
+a cell has, and of all tokens the largest share up to KEEP is kept with which the
+targets hold.  A draw compares the probability with a hash
 of the id, so a rerun draws the same documents.
 
 Classes are the values named in the targets, and ``other`` for the rest, so the
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +122,63 @@ def rake(slim: DataFrame, targets: Targets, rounds: int = ROUNDS, keep: float =
     return cells.select(*DIMENSIONS, "tokens", probability.alias("probability"))
 
 
+def _fit(tokens: np.ndarray, classes: list[np.ndarray], aims: list[np.ndarray], rounds: int) -> np.ndarray:
+    """Masses of at most ``tokens`` with the class sums ``aims``: tokens * min(1, a product of one factor a class)."""
+    factors = [np.ones(len(a)) for a in aims]
+    for _ in range(rounds):
+        for d, (of, aim) in enumerate(zip(classes, aims, strict=True)):
+            others = np.prod([factors[e][classes[e]] for e in range(len(aims)) if e != d], axis=0)
+            for c in range(len(aim)):
+                t, x = tokens[of == c], others[of == c]
+                by = np.argsort(-x)
+                t, x = t[by], x[by]
+                full = np.concatenate([[0.0], np.cumsum(t)[:-1]])  # taken whole, if the first ones are
+                rest = np.cumsum((t * x)[::-1])[::-1]
+                f = np.maximum(aim[c] - full, 0) / np.maximum(rest, 1e-300)
+                fits = np.flatnonzero(f * x <= 1)
+                factors[d][c] = f[fits[0]] if len(fits) else 1 / max(x[-1], 1e-300)
+    return tokens * np.minimum(1, np.prod([f[of] for f, of in zip(factors, classes, strict=True)], axis=0))
+
+
+def bounded(slim: DataFrame, targets: Targets, keep: float = KEEP, near: float = 1e-3, rounds: int = 60) -> DataFrame:
+    """A row a cell: source, lang, topic, tokens, probability, with the targets met.
+
+    The cells are as few as the parameters make them, so they are fitted in the
+    driver.  Where no draw meets the targets (classes that only occur together),
+    the one is taken whose largest error is that of hardly any draw.
+    """
+    rows = slim.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens")).orderBy(*DIMENSIONS).collect()
+    tokens = np.array([r["tokens"] for r in rows])
+    some = tokens > 0
+    probability = np.ones(len(rows))
+    if some.any():
+        t, total = tokens[some], tokens.sum()
+        classes, aims = [], []
+        for d in DIMENSIONS:
+            names, of = np.unique([r[d] for r in rows if r["tokens"] > 0], return_inverse=True)
+            mass, wanted = np.bincount(of, t), getattr(targets, d)
+            share = np.array([float(wanted.get(x, np.nan)) for x in names])
+            rest = mass[np.isnan(share)].sum()
+            classes.append(of)
+            aims.append(np.where(np.isnan(share), mass, share / max(np.nansum(share), 1e-300) * (total - rest)))
+
+        def fitted(k: float) -> tuple[np.ndarray, float]:
+            w = _fit(t, classes, [k * a for a in aims], rounds)
+            sums = [np.bincount(of, w) / max(w.sum(), 1e-300) - a / total for of, a in zip(classes, aims, strict=True)]
+            return w, max(float(np.abs(s).max()) for s in sums)
+
+        low, high = keep / 1024, keep
+        bound = max(near, 1.01 * fitted(low)[1])
+        if fitted(high)[1] <= bound:
+            low = high
+        for _ in range(10 if low < high else 0):
+            middle = (low + high) / 2
+            low, high = (middle, high) if fitted(middle)[1] <= bound else (low, middle)
+        probability[some] = fitted(low)[0] / t
+    made = [(*[r[d] for d in DIMENSIONS], r["tokens"], round(float(p), 6)) for r, p in zip(rows, probability, strict=True)]
+    return slim.sparkSession.createDataFrame(made, ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens double, probability double")
+
+
 def chance(key: Column) -> Column:
     """A number from 0 up to 1 that only depends on the id."""
     digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(key.cast("string"), F.lit("null"))))
@@ -139,7 +200,7 @@ def mix(documents: DataFrame, targets: Targets | None = None, key: str = "doc_id
     targets = targets or Targets()
     slim = documents.select(*[c.alias(n) for n, c in features(documents, targets).items()])
     p = store.free_prefix(documents)
-    cells = store.cut(rake(slim, targets), "cells").select(*[F.col(d).alias(f"{p}c_{d}") for d in DIMENSIONS], F.col("probability").alias(f"{p}probability"))
+    cells = bounded(slim, targets).select(*[F.col(d).alias(f"{p}c_{d}") for d in DIMENSIONS], F.col("probability").alias(f"{p}probability"))
     wide = documents.withColumns({n: c for n, c in features(documents, targets, p).items() if n != f"{p}n_tokens"})
     met = wide.join(F.broadcast(cells), [F.col(f"{p}{d}") == F.col(f"{p}c_{d}") for d in DIMENSIONS])
     return met.where(chance(F.col(key)) < F.col(f"{p}probability")).select(*documents.columns)

@@ -281,6 +281,26 @@ def test_raking_meets_its_targets(spark):
             assert sum(c.tokens * c.probability for c in cells if c[d] == value) / kept == pytest.approx(share, rel=2e-3)
 
 
+def test_the_pipelines_mixture_meets_its_targets(spark):
+    docs, targets = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), raking.Targets()
+    slim = docs.select(*[c.alias(n) for n, c in raking.features(docs, targets).items()]).cache()
+    cells = raking.bounded(slim, targets).collect()
+    kept = {(c.source, c.lang, c.topic): c.tokens * c.probability for c in cells}
+    every = sum(c.tokens for c in cells)
+    for i, d in enumerate(raking.DIMENSIONS):
+        wanted = getattr(targets, d)
+        rest = sum(c.tokens for c in cells if c[d] not in wanted) / every
+        for value, weight in wanted.items():
+            share = sum(w for k, w in kept.items() if k[i] == value) / sum(kept.values())
+            assert share == pytest.approx(weight / sum(wanted.values()) * (1 - rest), abs=2e-3)
+    p = F.col("probability")
+    spread = slim.join(F.broadcast(spark.createDataFrame(cells).drop("tokens")), list(raking.DIMENSIONS)).select(F.sqrt(F.sum(F.col("n_tokens") ** 2 * p * (1 - p)))).collect()[0][0]
+    made = raking.mix(docs)
+    drawn = made.select(*[c.alias(n) for n, c in raking.features(made, targets).items()]).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    total = sum(r.n for r in drawn)
+    assert abs(total - sum(kept.values())) < 4 * spread
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, documents):
     docs, ids = documents, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
