@@ -3,7 +3,9 @@
 1. Texts become token ids.  Where the merges of the tokenizer file are ranked by
    id, as in byte-level BPE, the file's vocabulary is handed to a faster encoder
    that applies the same merges; the tests hold its ids equal to the tokenizer's.
-   Other files, and texts with a special token's own string, go to the tokenizer.
+   Other files, and texts with a special token's own string or with more white
+   space in a row than that encoder's pattern can take, go to the tokenizer, as
+   does any text on which that encoder fails.
    A document longer than the capacity is cut into pieces, the first of which
    may be shorter.
 2. The histogram of piece lengths (at most ``capacity`` counts, whatever the
@@ -18,7 +20,7 @@
    meet in one task - and look up their slot.
 
 Defined results: a null text is an empty one; an empty text is the closing id
-alone.  Repeated rows are packed as often as they occur.  Extra columns are
+alone.  A text may be of any length and of one character repeated.  Repeated rows are packed as often as they occur.  Extra columns are
 ignored.  An empty table gives no rows.  The tokenizer file must be readable at
 the same path on every executor.
 """
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -46,6 +49,8 @@ PARTNERS = 6
 
 # Fixed value: how byte-level BPE splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space in a row that the faster encoder is not given; its pattern looks ahead behind each run.
+LONG_RUN = 20_000
 PIECES = "doc bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -65,6 +70,7 @@ class IdEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.long_run = re.compile(r"\s{%d}" % LONG_RUN)
         self.fast = self._ranked(path)
 
     def _ranked(self, path: str):
@@ -86,9 +92,14 @@ class IdEncoder:
         return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(array("I", self.fast.encode_ordinary(text)), "<u4").tobytes()
+        if self.fast is not None and not any(s in text for s in self.special) and not (len(text) >= LONG_RUN and self.long_run.search(text)):
+            try:
+                return np.array(array("I", self.fast.encode_ordinary(text)), "<u4").tobytes()
+            except (KeyboardInterrupt, SystemExit, GeneratorExit):
+                raise
+            except BaseException:  # noqa: BLE001 - a panic of the encoder is no Exception; the tokenizer has the last word
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

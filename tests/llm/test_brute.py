@@ -171,6 +171,29 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000, (" " * 30_000 + "\u3000" * 30_000 + "a") * 3, " " * 19_999 + "b"])
+def test_long_runs_are_encoded(spark, text):
+    encoder = pattern_packing.IdEncoder(TOKENIZER)
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+    rows = pattern_packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), TOKENIZER).collect()
+    assert sum(r.length for r in rows) == len(want) + 1
+
+
+def test_a_panic_of_the_encoder_falls_back(monkeypatch):
+    class Panic(BaseException):
+        pass
+
+    class Broken:
+        def encode_ordinary(self, text):
+            raise Panic
+
+    encoder = pattern_packing.IdEncoder(TOKENIZER)
+    want = encoder.ids("some text")
+    encoder.fast = Broken()
+    assert encoder.ids("some text") == want
+
+
 def plain_phrases(text, sample):
     n, t, count = cross_parse.normalise(text), cross_parse.normalise(sample), 0
     for a in range(0, len(n), cross_parse.SEGMENT):
