@@ -304,24 +304,48 @@ def test_raking_meets_its_targets(spark):
             assert sum(c.tokens * c.probability for c in cells if c[d] == value) / kept == pytest.approx(share, rel=2e-3)
 
 
-def test_the_pipelines_mixture_meets_its_targets(spark):
-    docs, targets = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), raking.Targets()
-    slim = docs.select(*[c.alias(n) for n, c in raking.features(docs, targets).items()]).cache()
-    cells = raking.bounded(slim, targets).collect()
-    kept = {(c.source, c.lang, c.topic): c.tokens * c.probability for c in cells}
-    every = sum(c.tokens for c in cells)
-    for i, d in enumerate(raking.DIMENSIONS):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_mixture_meets_its_targets(spark, sf):
+    """By the query's own parameters: expected shares, and what is drawn within chance."""
+    docs, targets = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), raking.Targets()
+    rows = raking.plan_mix(docs, targets).collect()
+    every, kept = sum(r.n_tokens for r in rows), sum(r.n_tokens * r.probability for r in rows)
+    assert kept / every == pytest.approx(rows[0].keep, rel=1e-6) and 0.2 < rows[0].keep <= raking.KEEP
+    assert {r.missed for r in rows} == {""} and max(r.probability for r in rows) <= 1
+    for d in raking.DIMENSIONS:
         wanted = getattr(targets, d)
-        rest = sum(c.tokens for c in cells if c[d] not in wanted) / every
+        rest = sum(r.n_tokens for r in rows if r[d] not in wanted) / every
         for value, weight in wanted.items():
-            share = sum(w for k, w in kept.items() if k[i] == value) / sum(kept.values())
-            assert share == pytest.approx(weight / sum(wanted.values()) * (1 - rest), abs=2e-3)
-    p = F.col("probability")
-    spread = slim.join(F.broadcast(spark.createDataFrame(cells).drop("tokens")), list(raking.DIMENSIONS)).select(F.sqrt(F.sum(F.col("n_tokens") ** 2 * p * (1 - p)))).collect()[0][0]
-    made = raking.mix(docs)
-    drawn = made.select(*[c.alias(n) for n, c in raking.features(made, targets).items()]).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
-    total = sum(r.n for r in drawn)
-    assert abs(total - sum(kept.values())) < 4 * spread
+            share = sum(r.n_tokens * r.probability for r in rows if r[d] == value) / kept
+            assert share == pytest.approx(weight / sum(wanted.values()) * (1 - rest), rel=0.01)
+            assert all(r[f"{d}_share"] == pytest.approx(share, rel=1e-6) for r in rows if r[d] == value)
+    spread = sum(r.n_tokens**2 * r.probability * (1 - r.probability) for r in rows) ** 0.5
+    assert abs(sum(r.n_tokens for r in rows if r.kept) - kept) < 4 * spread
+    assert {r.doc_id for r in raking.mix(docs).collect()} == {r.doc_id for r in rows if r.kept}
+
+
+def test_classes_that_cannot_meet_their_targets_are_named(spark):
+    """Source a only occurs in German and is to be three quarters; German is to be a tenth."""
+    rows = [("a", "de", "general", 100), ("b", "en", "general", 100), ("b", "de", "general", 1)]
+    targets = raking.Targets({"a": 3, "b": 1}, {"de": 1, "en": 9}, {"general": 1})
+    cells = raking.rake(spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long"), targets).collect()
+    assert all(0 <= c.probability <= 1 for c in cells) and len({c.missed for c in cells}) == 1
+    assert cells[0].missed and set(cells[0].missed.split(",")) <= {"source=a", "source=b", "lang=de", "lang=en"}
+
+
+def test_a_rare_cell_can_be_drawn(spark):
+    """Probabilities are not rounded to nothing."""
+    rows = [("a", "en", "general", 10**9), ("b", "en", "general", 1)]
+    targets = raking.Targets({"a": 1, "b": 1}, {"en": 1}, {"general": 1})
+    cells = {c.source: c for c in raking.rake(spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long"), targets).collect()}
+    assert cells["b"].probability == pytest.approx(1, rel=0.01) and 0 < cells["a"].probability == pytest.approx(1e-9, rel=0.01)
+
+
+def test_topics_follow_content_words(spark):
+    texts = {"Released under a licence. Copyright 2020.": "legal", "Write to a.b@example.org or call +49 30 1234567": "contact", "the and of in on is": "general", "": "other", None: "other", "Die LIZENZ gilt": "legal", "unlicensed words": "general"}
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = {r.text: (r.topic, r.n_tokens) for r in raking.counted(docs, raking.Targets()).collect()}
+    assert {t: topic for t, (topic, _) in got.items()} == texts and got[None][1] == 0
 
 
 def test_pipeline_equals_its_stages_by_hand(spark, documents):
