@@ -61,27 +61,79 @@ def variants(n, change, words=120, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("k, percent, small, region", [(3, 85, 64, 1000), (5, 80, 8, 20)])
-def test_near_duplicates_equal_brute_force(spark, documents, monkeypatch, k, percent, small, region):
-    monkeypatch.setattr(lsh_forest, "SMALL", small)
+@pytest.mark.parametrize("k, percent, region, block, window", [(3, 85, 1000, 500, 4), (5, 80, 20, 8, 1), (3, 85, 5, 3, 0)])
+def test_near_duplicates_equal_brute_force(spark, documents, monkeypatch, k, percent, region, block, window):
     monkeypatch.setattr(lsh_forest, "REGION", region)
+    monkeypatch.setattr(lsh_forest, "BLOCK", block)
+    monkeypatch.setattr(lsh_forest, "WINDOW", window)
     rows = [(r.doc_id, r.text) for r in documents.collect()] + variants(150, 2, seed=7) + variants(90, 4, seed=8) + variants(40, 9, seed=9)
     made = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in made.collect()} == groups(rows, k, percent)
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    """Pairs of sets whose similarity is at or just above 0.85, each pair of words of its own."""
+    rows, want = [], {}
+    for i in range(400):
+        w = [f"p{i}w{j}" for j in range(130)]
+        cut = 10 + i % 2  # of 128 shingles, those at the end differ
+        other = [*w[:-cut], *[f"q{i}w{j}" for j in range(cut)]]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    want = groups(rows, 3, 85)
+    assert sum(i != root for i, (_, root) in want.items()) >= 200
+    made = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in made.collect()} == want
+
+
+def test_rows_of_one_id_link_their_sets(spark):
+    """One id with several texts joins their groups; rows without an id take part."""
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(60)) for x in "abcd")
+    rows = [(3, b), (7, b), (5, a), (7, a), (9, c), (None, c + "more"), (None, d), (None, d + "more"), (11, None), (11, d + "other end"), (12, ""), (None, None), (13, a + "x y"), (3, b)]
+    made = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in made}
+    assert len(made) == len(rows)
+    assert {got[i, 58] for i in (3, 5, 7)} == {3} and got[13, 60] == 3
+    assert got[9, 58] == 9 and [r.component_id for r in made if r.doc_id is None and r.n_shingles == 59] == [9, 11] or sorted(str(r.component_id) for r in made if r.doc_id is None) == ["11", "11", "9", "None"]
+    assert got[11, 0] == 11 and got[11, 60] == 11 and got[12, 0] == 12
+    assert {(r.doc_id, r.kept) for r in made} == {(3, True), (5, False), (7, False), (9, True), (11, True), (12, True), (13, False), (None, False)}
+
+
+def test_only_rows_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(None, text), (None, text + " more"), (None, "else")], "doc_id long, text string")
+    made = lsh_forest.near_duplicates(docs, 3, 85).collect()
+    assert [(r.component_id, r.kept) for r in made] == [(None, False)] * 3 and lsh_forest.keep_one(docs, 3, 85).count() == 3
+
+
 def test_forest_depths_bound_the_loss():
     for percent in (80, 85):
         for d in lsh_forest.depths(percent):
             assert d == lsh_forest.FIRST_DEPTH or (1 - (percent / 100) ** d) ** lsh_forest.TREES <= lsh_forest.MISS
 
 
-def test_trees_share_no_hashes():
+def test_a_tree_sorts_by_its_own_minhashes():
+    """Prefixes of keys are common values, and no value is in two trees."""
+    np.seterr(over="ignore")
+    depth = lsh_forest.depths(85)[-1]
+    sets = [texthash.mix(np.arange(a, a + 200, dtype=np.uint64)) for a in (1, 11, 5000)]
+    at = np.cumsum([0, *map(len, sets)])
+    sig = lsh_forest.signatures(np.concatenate(sets), at, lsh_forest.TREES * depth)
+    assert sig.shape[1] == lsh_forest.TREES * depth and len(set(lsh_forest._multipliers(sig.shape[1]).tolist())) == sig.shape[1]
+    keys = [s.tobytes()[: 2 * depth] for s in sig]
+    for i in range(3):
+        for j in range(3):
+            same = sig[i, :depth] == sig[j, :depth]
+            assert lsh_forest.common_prefix(keys[i], keys[j]) == (depth if same.all() else int(same.argmin()))
+    equal = (sig[0] == sig[1]).mean()
+    assert abs(equal - 190 / 210) < 0.1 and (sig[0] == sig[2]).mean() < 0.02
+
+
+def test_the_floor_of_equal_minhashes():
+    from math import comb
+
     for percent in (80, 85):
-        deepest = lsh_forest.depths(percent)[-1]
-        order = lsh_forest.orders(depth=deepest)
-        places = order[:, :deepest].ravel()
-        assert order.shape[0] == lsh_forest.TREES and len(set(places.tolist())) == lsh_forest.TREES * deepest
+        n, p = lsh_forest.TREES * lsh_forest.depths(percent)[-1], percent / 100
+        assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(lsh_forest.floor(percent, n))) < 2e-6
 
 
 def test_word_hashes_follow_words():
