@@ -154,7 +154,7 @@ def nodes(slim: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     reps = store.cut(met.select("s1", "s2", node.alias("node"), "any_id", "x.n_shingles", "x.sig"), "nodes")
     theirs = slim.where("n_shingles > 0").join(F.broadcast(several) if _few(several) else several, F.col("doc") == F.col("shared"), "left_semi").select("doc", "s1", "s2").distinct()
     links = theirs.join(reps.select("s1", "s2", "node"), ["s1", "s2"]).select(F.col("doc").alias("a"), F.col("node").alias("b"))
-    return reps, store.cut(links, "id_links"), high
+    return reps, links, high
 
 
 def _region(tree: Column, key: Column, depth: int) -> Column:
@@ -182,7 +182,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, k: int, key: str, text: s
                 yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(packed, pa.binary())], names=["s1", "s2", "shingles"])
         texthash.give_back()
 
-    ids = store.cut(wanted.select(F.col("any_id").alias("wanted_id")).distinct(), "wanted")
+    ids = wanted.select(F.col("any_id").alias("wanted_id"))
     rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("body"))
     found = rows.join(F.broadcast(ids) if _few(ids) else ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     made = found.mapInArrow(sets, "s1 bigint, s2 bigint, shingles binary").dropDuplicates(["s1", "s2"])
@@ -241,7 +241,7 @@ def neighbour_links(trees: DataFrame, sets: DataFrame, percent: int) -> DataFram
         run: deque[tuple[bytes, int, np.ndarray]] = deque(maxlen=WINDOW)
         head, groups, tree = None, Groups(), None
         for batch in batches:
-            found = []
+            found = []  # between the roots so far, which keeps paths short
             for t, key, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 own = np.frombuffer(shingles.as_buffer(), np.uint64)
                 if head is None or t != tree or common_prefix(head[0], key) < FIRST_DEPTH:
@@ -249,19 +249,19 @@ def neighbour_links(trees: DataFrame, sets: DataFrame, percent: int) -> DataFram
                     head, groups, tree = (key, node, own), Groups(), t
                 else:
                     for _, other, theirs in (*reversed(run), head):
-                        if groups.find(other) != groups.find(node) and linked(own, theirs, percent):
-                            groups.join(other, node)
-                            found.append((node, other))
+                        x, y = groups.find(node), groups.find(other)
+                        if x != y and linked(own, theirs, percent):
+                            groups.join(x, y)
+                            found.append((x, y))
                 run.append((key, node, own))
             yield from _edges(found)
         texthash.give_back()
 
     parts = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = trees.where(F.col("tree") < CHAINS).select("tree", "key", "node")
-    rows = store.cut(first.repartitionByRange(parts, "tree", "key", "node").select("tree", "key", "node", F.spark_partition_id().alias("part")), "order")
-    met = rows.join(sets, "node").select("tree", "key", "node", "shingles", "part")
-    met = met.repartition(parts, "part").sortWithinPartitions("part", "tree", "key", "node").select("tree", "key", "node", "shingles")
-    return store.cut(met.mapInArrow(walk, EDGES), "neighbours")
+    rows = first.join(sets, "node").select("tree", "key", "node", "shingles")
+    rows = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    return store.cut(rows.mapInArrow(walk, EDGES), "neighbours")
 
 
 def mixed_regions(trees: DataFrame, groups: DataFrame, levels: list[int]) -> DataFrame:
@@ -386,10 +386,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, key: st
     slim = store.cut(sketch(documents, k, levels[-1], key, text), "sketch")
     reps, id_links, high = nodes(slim)
     trees = forest(reps, levels[-1])
-    company = store.cut(trees.select(F.col("node").alias("with")).distinct(), "company")
-    wanted = reps.join(F.broadcast(company) if _few(company) else company, F.col("node") == F.col("with"), "left_semi")
+    company = trees.select(F.col("node").alias("with")).distinct()
+    wanted = store.cut(reps.select("s1", "s2", "node", "any_id").join(company, F.col("node") == F.col("with"), "left_semi"), "wanted")
     sets = full_sets(documents, wanted, k, key, text)
     near = neighbour_links(trees, sets, percent)
+    id_links = store.cut(id_links, "id_links")
     groups = components(near.unionByName(id_links), "groups")
     rest = components(region_links(documents, reps, sets, mixed_regions(trees, groups, levels), percent, levels[-1]), "rest")
     # Components of components: a node leads to its group's root, and that to its own.
