@@ -12,10 +12,12 @@ Of the records with equal payloads (of at least ``min_bytes``) the one with the
 smallest key is a response, the others are revisits that refer to it and carry
 the HTTP header only.  That header keeps the payload's length.
 
-Archives are written by Spark's own text writer with the record separator as
-its line separator, so they can go to any store that Spark can write, tasks
-commit as usual, and a lost executor costs its running tasks only.  A file holds
-at most ``records_per_file`` records and is read back whole by one task.
+Every record is a gzip member of its own.  Members are gathered to images of about
+IMAGE_BYTES, and these are written by Spark's own text writer, with an empty gzip
+member as its line separator, so archives can go to any store that Spark can
+write, tasks commit as usual, and a lost executor costs its running tasks only.  A
+file holds at most ``images_per_file`` images (64 MB and one record by default),
+however large the records are, and is read back by one task.
 
 Defined results: a null payload is an empty one, a null URL is ``-``, a null key
 is carried as ``-`` and read back as null (and sorts after all others for the
@@ -47,8 +49,10 @@ FIELDS = {
 }
 DATE = b"20240101000000"
 IMAGE_BYTES = 4 << 20
-RECORDS_PER_FILE = 10_000
-END = "\r\n\r\n"
+IMAGES_PER_FILE = 16
+END = b"\r\n\r\n"
+#: A gzip member of no bytes: what stands between two images.
+NOTHING = gzip.compress(b"", 6, mtime=0)
 
 CONVERTED = "page_key string, url string, ip string, date string, mime string, record_id string, payload_bytes bigint, payload_digest string, block_digest string, http_head binary, block binary"
 
@@ -167,7 +171,7 @@ def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def record_text(marked: DataFrame) -> DataFrame:
-    """One column ``record``: header and block of a WARC record, its bytes as they are."""
+    """One column ``record`` (binary): header and block of a WARC record."""
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, F.col("http_head")).otherwise(F.col("block"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -194,12 +198,26 @@ def record_text(marked: DataFrame) -> DataFrame:
         line("Content-Length", F.length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return marked.select(F.concat(F.encode(head, "UTF-8"), block).cast("string").alias("record"))
+    return marked.select(F.concat(F.encode(head, "UTF-8"), block).alias("record"))
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzipped WARC files of ``record_text`` rows."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_warc(records: DataFrame, path: str, images_per_file: int = IMAGES_PER_FILE) -> None:
+    """WARC files of ``record_text`` rows, a gzip member a record; Spark names the files ``part-*``."""
+
+    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                held.append(gzip.compress(record.as_py() + END, 6, mtime=0))
+                size += len(held[-1])
+                if size >= IMAGE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["image"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["image"])
+
+    made = records.mapInArrow(images, "image binary").select(F.col("image").cast("string"))
+    made.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", images_per_file).text(path)
 
 
 def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -253,7 +271,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 if rows:
                     yield made(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parsed, READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(parsed, READ)
 
 
 def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:

@@ -112,7 +112,7 @@ fates AS (
   SELECT l.conv_id, l.n_turns, l.all_turns, c.cover IS NULL AND l.conv_id = f.first_id AS kept,
     CASE WHEN c.cover IS NOT NULL THEN c.cover WHEN l.conv_id <> f.first_id THEN f.first_id END AS covered_by
   FROM lists l LEFT JOIN covers c ON l.all_turns = c.head LEFT JOIN firsts f ON l.all_turns = f.all_turns)
-SELECT conv_id, n_turns, kept, covered_by, CAST(0 AS BIGINT) AS chunk,
-  CASE WHEN kept THEN list_aggregate(list_transform(all_turns, lambda x: '{OPEN}' || replace(coalesce(x.r, 'unknown'), '<|', '< |') || chr(10)
+SELECT conv_id, n_turns, kept, covered_by, c AS chunk,
+  CASE WHEN kept THEN list_aggregate(list_transform(all_turns[{CHUNK} * c + 1:{CHUNK} * (c + 1)], lambda x: '{OPEN}' || replace(coalesce(x.r, 'unknown'), '<|', '< |') || chr(10)
     || replace(coalesce(x.t, ''), '<|', '< |') || '{CLOSE}' || chr(10)), 'string_agg', '') END AS rendered
-FROM fates"""
+FROM fates, LATERAL (SELECT unnest(CASE WHEN kept THEN range(CAST((n_turns - 1) // {CHUNK} + 1 AS BIGINT)) ELSE [CAST(0 AS BIGINT)] END) AS c)"""

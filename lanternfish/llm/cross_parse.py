@@ -16,11 +16,17 @@ The sample: of the rows that qualify, the SAMPLE_DOCS of each language with the
 smallest hash of their id, SAMPLE_CHARS characters of each at most.  It is the
 only part that does not cover all rows, and its size does not depend on them.
 
+``reject`` also drops texts in none of the languages: those that need more than
+FOREIGN times the phrases per letter that the winner's own documents need on
+average, over all documents that are labelled with it and judged to be in it.
+As a short text's rate says little, PRIOR letters at that average are added to it.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 so is every text if nothing can be learned.  With one learned language its score
 is 1.  Ties go to the language that sorts first.  A null id counts as learnable.
 Repeated rows give repeated rows.  Extra columns are ignored by ``identify`` and
-kept by ``reject``.
+kept by ``reject``.  ``reject`` drops ``und`` documents; a language that no
+document is both labelled with and judged to be in has no average and keeps its own.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import store, texthash
 
@@ -43,8 +50,8 @@ SHARED = 16
 SEGMENT = 256
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
-#: A text that needs this many phrases per letter for every language is none of them.
-HOPELESS = 0.8
+FOREIGN = 2.2
+PRIOR = 16
 
 
 @lru_cache(maxsize=1)
@@ -181,17 +188,18 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
-def judge(samples: tuple[tuple[str, str], ...], column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and the winner's phrases per character of every text."""
+def judge(samples: tuple[tuple[str, str], ...], column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, the winner's phrases, and letters of every text."""
     model = _model(samples)
     body, off = texthash.utf8(column)
-    langs, scores, rates = [], [], []
+    langs, scores, fewest, sizes = [], [], [np.zeros(0)], [np.zeros(0, np.int64)]
     for a, b in texthash.slices(off, SLICE_BYTES):
         counts, size = model.phrases(body[off[a] : off[b]], off[a : b + 1] - off[a])
+        sizes.append(size)
         if not model.langs:
             langs += [UNKNOWN] * (b - a)
             scores.append(np.zeros(b - a))
-            rates.append(np.ones(b - a))
+            fewest.append(np.zeros(b - a))
             continue
         best = counts.argmin(axis=1)
         least = counts[np.arange(b - a), best].astype(float)
@@ -200,8 +208,8 @@ def judge(samples: tuple[tuple[str, str], ...], column: pa.Array) -> tuple[list[
         score = np.where(some, np.where(np.isinf(second), 1.0, (second - least) / np.maximum(second, 1)), 0.0)
         langs += [model.langs[i] if s else UNKNOWN for i, s in zip(best.tolist(), some.tolist(), strict=True)]
         scores.append(np.clip(score, 0.0, 1.0))
-        rates.append(np.where(some, least / np.maximum(size, 1), 1.0))
-    return langs, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(rates) if rates else np.zeros(0)
+        fewest.append(least)
+    return langs, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(fewest), np.concatenate(sizes)
 
 
 def learn(documents: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
@@ -233,7 +241,7 @@ def identify(documents: DataFrame, key: str = "doc_id", text: str = "text", lang
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, _ = judge(samples, batch.column(2))
+            langs, scores, *_ = judge(samples, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[key, "held_out", "lang_pred", "score"])
         texthash.give_back()
 
@@ -242,15 +250,23 @@ def identify(documents: DataFrame, key: str = "doc_id", text: str = "text", lang
 
 
 def reject(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents with a language: not ``und``, and not hopeless for every learned one."""
+    """The documents in a learned language: not ``und``, and not foreign to the one that wins."""
     samples = learn(documents, F.lit(True), key, text, lang)
-    columns, at = documents.columns, documents.columns.index(text)
+    p, at = store.free_prefix(documents), documents.columns.index(text)
+    added = [f"{p}won", f"{p}phrases", f"{p}letters"]
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _, rates = judge(samples, batch.column(at))
-            good = np.array([x != UNKNOWN for x in langs], bool) & (rates < HOPELESS)
-            yield batch.filter(pa.array(good))
+            langs, _, fewest, sizes = judge(samples, batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(fewest, pa.float64()), pa.array(sizes, pa.int64())], names=[*batch.schema.names, *added])
         texthash.give_back()
 
-    return documents.mapInArrow(kept, documents.schema).select(*columns)
+    schema = T.StructType([*documents.schema.fields, *[T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.LongType()), strict=True)]])
+    rows = store.cut(documents.mapInArrow(parsed, schema), "parsed")
+    won, phrases, size = (F.col(c) for c in added)
+    # A row a learned language.
+    usual = rows.where(F.col(lang) == won).groupBy(won.alias(f"{p}of")).agg((F.sum(phrases) / F.sum(size)).alias(f"{p}usual"))
+    met = rows.where(won != UNKNOWN).join(F.broadcast(usual), won == F.col(f"{p}of"), "left")
+    mean = F.col(f"{p}usual")
+    native = (phrases + PRIOR * mean) / (size + PRIOR) <= FOREIGN * mean
+    return met.where(F.coalesce(native, F.lit(True))).select(*documents.columns)

@@ -179,8 +179,9 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
     kind = dict(documents.dtypes)[key]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc"), F.col("text")]
-    rows = rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).select("doc", "text", F.spark_partition_id().alias("part"))
+    # Rows of one id, or without one, follow each other by a hash, so ranges can cut through them.
+    order = [F.desc_nulls_last("doc"), F.xxhash64("text"), F.col("text")]
+    rows = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).select("doc", "text", F.spark_partition_id().alias("part"))
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, schema, part = None, None, 0

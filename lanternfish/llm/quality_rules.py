@@ -40,7 +40,10 @@ SHOUTED = r"!![^!]+!![^!]+!!"
 NAVIGATION = "(?:[|›•·»>][^|›•·»>]*){3}"
 BOILERPLATE = (
     r"(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|"
-    r"subscribe to our|sign up for|log in to|click here|share this|read more|back to top|lorem ipsum"
+    r"subscribe to our|sign up for|log in to|click here|share this|read more|back to top|lorem ipsum|"
+    r"alle rechte vorbehalten|datenschutzerkl|nutzungsbedingungen|hier klicken|"
+    r"tous droits r[^a-z ]serv|politique de confidentialit|conditions d.utilisation|cliquez ici|"
+    r"todos los derechos reservados|pol[^a-z ]tica de privacidad|condiciones de uso|haz clic"
 )
 SYMBOL_PERCENT = 10
 
@@ -108,18 +111,20 @@ words AS (SELECT r, list_filter(string_split_regex(text, '{SPACE}+'), lambda x:
 windows AS (SELECT r, i, w[i:i + {WINDOW - 1}] AS g FROM words, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT r, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice) GROUP BY r),
-lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+lines AS (SELECT r, i, ls[i] AS line FROM (SELECT r, string_split(text, chr(10)) AS ls FROM docs), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
 judged AS (
-  SELECT r, line, NOT regexp_matches(line, '{q(TERMINAL)}') OR {sym("line")} * 100 > length(line) * {SYMBOL_PERCENT} OR regexp_matches(line, '{SHOUTED}')
+  SELECT r, i, line, NOT regexp_matches(line, '{q(TERMINAL)}') OR {sym("line")} * 100 > length(line) * {SYMBOL_PERCENT} OR regexp_matches(line, '{SHOUTED}')
     OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{BOILERPLATE}') AS bad
   FROM lines WHERE regexp_matches(line, '{NOT_SPACE}')),
-per_line AS (SELECT r, count(*) - count(DISTINCT line) AS dups, sum(length(line)) AS chars, count(*) FILTER (bad) AS lost, coalesce(sum(length(line)) FILTER (bad), 0) AS chars_lost FROM judged GROUP BY r),
+per_line AS (SELECT r, count(*) - count(DISTINCT line) AS dups, sum(length(line)) AS chars, count(*) FILTER (bad) AS lost, coalesce(sum(length(line)) FILTER (bad), 0) AS chars_lost,
+  string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS clean FROM judged GROUP BY r),
 counts AS (
   SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
     CAST({sym("d.text")} AS BIGINT) AS n_symbols, CAST(coalesce(l.dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(coalesce(l.lost, 0) AS BIGINT) AS lines_lost, CAST(coalesce(l.chars_lost, 0) AS BIGINT) AS chars_lost, coalesce(l.chars, 0) AS chars
+    CAST(coalesce(l.lost, 0) AS BIGINT) AS lines_lost, CAST(coalesce(l.chars_lost, 0) AS BIGINT) AS chars_lost, coalesce(l.chars, 0) AS chars,
+    sha256(coalesce(l.clean, '')) AS clean_sha256
   FROM docs d JOIN words w USING (r) LEFT JOIN covered c USING (r) LEFT JOIN per_line l USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {REPEAT_PERCENT} AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {REPEAT_PERCENT}) AND chars_lost * 100 <= chars * {LOST_PERCENT} AS kept, lines_lost, chars_lost
+  NOT (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {REPEAT_PERCENT}) AND chars_lost * 100 <= chars * {LOST_PERCENT} AS kept, lines_lost, chars_lost, clean_sha256
 FROM counts"""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read
 from . import arc_warc, chat_format, cross_parse, kneser_ney, lsh_forest, pattern_packing, phrase_fingerprint, quality_rules, raking, url_vocabulary
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(read(spark, sf_dir, "documents")).drop("clean_text")
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents")).withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -147,21 +148,90 @@ def test_word_hashes_follow_words():
     assert h[0] == h[1] == h[2] and h[3] == h[11] and h[4] == h[7] == h[10] and len(set(h.tolist())) == 5
 
 
-def test_fingerprints_equal_a_plain_walk(documents):
-    made = {r.doc_id: r for r in phrase_fingerprint.fingerprints(documents).collect()}
-    docs = sorted(((r.doc_id, r.text or "") for r in documents.collect()), reverse=True)
-    for i, (doc, text) in enumerate(docs):
-        after = docs[(i + 1) % len(docs)][1]
+WIDE = (1 << 64) - 1
+
+
+def stir(x):
+    """The 64-bit finaliser, number by number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & WIDE
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & WIDE
+    return x ^ x >> 31
+
+
+def plain_level(names):
+    """One level of locally consistent parsing: runs, coin tossing, phrases between extremes."""
+    if not names:
+        return []
+    y = []
+    for name, run in itertools.groupby(names):
+        n = len(list(run))
+        y.append(name if n == 1 else stir((name * 0x9E3779B97F4A7C15 + n) & WIDE))
+    labels = y
+    for _ in range(4):
+        tossed = []
+        for i, v in enumerate(labels):
+            differ = v ^ labels[i - 1] if i else 1
+            place = (differ & -differ).bit_length() - 1
+            tossed.append(2 * place + (v >> place & 1))
+        labels = tossed
+    n = len(y)
+    left = [i == 0 or labels[i] > labels[i - 1] for i in range(n)]
+    right = [i == n - 1 or labels[i] > labels[i + 1] for i in range(n)]
+    top = [a and b for a, b in zip(left, right, strict=True)]
+    low = [not left[i] and not right[i] and not (i and top[i - 1]) and not (i + 1 < n and top[i + 1]) for i in range(n)]
+    starts = [i for i in range(n) if i == 0 or top[i] or low[i]]
+    out = []
+    for a, b in zip(starts, [*starts[1:], n], strict=True):
+        total = sum(stir(y[a + j] ^ (j + 1) * 0xC2B2AE3D27D4EB4F & WIDE) for j in range(b - a))
+        out.append(stir((total + (b - a) * 0x9E3779B97F4A7C15) & WIDE))
+    return out
+
+
+def plain_codes(text):
+    """The least phrase hash of each of 128 bins after three levels, as a byte; None for an empty bin."""
+    names = [stir(ord(c) + 1) for c in text]
+    for _ in range(3):
+        names = plain_level(names)
+    least = {}
+    for name in names:
+        h = stir(name ^ 0xC2B2AE3D27D4EB4F)
+        least[h >> 57] = min(least.get(h >> 57, WIDE), h & (1 << 57) - 1)
+    return [stir(least[i]) & 255 if i in least else None for i in range(128)]
+
+
+def plain_likeness(a, b):
+    pairs = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+    share = sum(x == y for x, y in pairs) / max(len(pairs), 1)
+    return min(1.0, max(0.0, (share - 1 / 256) / (1 - 1 / 256))) if pairs else 1.0
+
+
+def test_fingerprints_equal_a_plain_walk(spark, documents):
+    """Parse, coin tossing and minhash again, number by number, over short, repetitive and ordinary texts."""
+    texts = [*[r.text for r in documents.where("n_chars < 1500").orderBy("doc_id").limit(60).collect()], "", None, "a", "aaaa", "ab" * 300, "🙂é漢" * 40, "x" * 1000]
+    made = {r.doc_id: r for r in phrase_fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    shown = lambda codes: "".join("--" if c is None else f"{c:02x}" for c in codes)
+    for i in range(len(texts)):
+        text, after = texts[i] or "", texts[i - 1] or ""  # descending ids; after 0 comes the largest
         edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
-        own, theirs, following = (phrase_fingerprint.sketch([x]) for x in (text, edited, after))
-        r = made[doc]
+        own, theirs, following = plain_codes(text), plain_codes(edited), plain_codes(after)
+        r = made[i]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert [r.fingerprint, r.edited_fingerprint] == phrase_fingerprint.write_out(np.concatenate([own, theirs]))
-        assert r.near_edited == pytest.approx(phrase_fingerprint.likeness(own, theirs)[0]) and r.near_next == pytest.approx(phrase_fingerprint.likeness(own, following)[0])
-    long = [r for r in made.values() if r.n_chars > 1000]
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own), shown(theirs))
+        assert r.near_edited == pytest.approx(plain_likeness(own, theirs)) and r.near_next == pytest.approx(plain_likeness(own, following))
+
+
+def test_likeness_of_long_documents(documents):
+    long = phrase_fingerprint.fingerprints(documents).where("n_chars > 1000").collect()
     assert np.median([r.near_edited for r in long]) > 0.35 and np.median([r.near_next for r in long]) < 0.1
 
 
+def test_rows_of_one_id_are_dealt_over_ranges(spark):
+    """Half of the rows have no id and half the same one; each is paired with one that follows."""
+    rows = [(None if i % 2 else 5, f"text number {i} " * 9) for i in range(400)]
+    made = phrase_fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(made) == 400 and len({r.fingerprint for r in made}) == len({t for _, t in rows}) and len({r.edited_sha256 for r in made}) > 390
+
+
 def test_equal_substrings_share_interior_phrases():
     np.seterr(over="ignore")
     r = np.random.default_rng(1)
@@ -274,6 +344,23 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "ru": "привет как дела сегодня",
+    "zh": "漢字仮名交じり文を読む",
+    "letters": "ivniqyaebmnfdqxchddafyhdgaqvoo xouqhpipqq zlvoolsxrxopvhk mzxqlroqibalokmnqfrfhhafkfeqql",
+}
+
+
+def test_foreign_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    strange = spark.createDataFrame([(10**6 + i, t, "en" if i % 2 else None) for i, t in enumerate(FOREIGN.values())], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in cross_parse.reject(docs.unionByName(strange)).collect()}
+    assert not any(i >= 10**6 for i in kept)
+    assert len(kept) >= 0.999 * docs.where("text RLIKE '[a-zA-Z]'").count()
+
+
 def plain_model(texts):
     """Interpolated modified Kneser-Ney over characters, by the book: p(context, character)."""
     padded = [[kneser_ney.START] * 3 + [32 if c in "\t\r\x0b\x0c" else min(ord(c), 0xFFFF) for c in t] for t in texts]
