@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from pathlib import Path
 
 from . import api
-from .operators import scan
+from .operators import inventory, scan
 from .session import build_session
 from .sources import sinks
 
@@ -31,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--verdicts")
     p = verbs.add_parser("clean-up")
     p.add_argument("store")
+    p.add_argument("--config")
+    p.add_argument("--judge", default="none")
     p.add_argument("--apply", action="store_true")
     p = verbs.add_parser("snapshot")
     p.add_argument("root")
@@ -51,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     show = lambda df: [print(x) for x in df.toJSON().toLocalIterator()]
     if a.verb == "scan":
         listed, findings = api.scan_paths(spark, *a.paths)
-        show(scan.sarif_log(findings).select("log") if a.sarif else findings)
+        show(scan.sarif_log(findings).select("log") if a.sarif else scan.ordered(findings))
         show(scan.report(listed, findings))
     elif a.verb in ("verify", "gate"):
         return (api.verify if a.verb == "verify" else api.gate)(spark, *a.paths)
@@ -71,7 +74,8 @@ def main(argv: list[str] | None = None) -> int:
         show(overall)
         return 0 if overall.first()["publication_status"] != "BLOCKED" else 1
     elif a.verb == "clean-up":
-        fates, plan = api.cleanup_plan(spark, a.store, time.time())
+        rules = inventory.Rules.load(Path(a.config).read_text() if a.config else None)
+        fates, plan = api.cleanup_plan(spark, a.store, time.time(), rules, api.make_judge(a.judge, rules.judge_statement))
         print(api.plan_summary(fates, plan, a.apply))
         if a.apply:
             print(api.clean_up(plan, a.store))

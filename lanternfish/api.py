@@ -10,6 +10,8 @@ import json
 import os
 import shutil
 import sqlite3
+import subprocess
+import time
 from collections.abc import Callable
 from pathlib import Path
 
@@ -47,19 +49,26 @@ def store_findings(spark: SparkSession, path: str, session_id: str | None = None
 
 
 def scan_paths(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """(files with type and error, findings in order) of files and folders."""
-    found = files.targets(files.walk(spark, *paths)).cache()
+    """(files with type and error, by name; findings) of files and folders.
+
+    A store with a table that cannot be read has an error, so it never passes the
+    gate as clean.  Findings come in no order; ``scan.ordered`` is for printing.
+    """
+    found = files.targets(files.walk(spark, *paths))
+    listed = found.select("file", "type", F.when(F.col("type") == "binary", "skipped: binary file").alias("error")).cache()  # narrow
     rows = scan.text_findings(files.texts(found))
-    listed = found.select("file", "type", F.when(F.col("type") == "binary", "skipped: binary file").alias("error"))
     errors = {}
-    for r in found.where("type = 'sqlite'").select("file").collect():  # stores are opened one by one
+    for r in listed.where("type = 'sqlite'").select("file").collect():  # stores are opened one by one
         try:
             rows = rows.unionByName(store_findings(spark, r["file"]))
+            broken = sqlite.unreadable(r["file"])
+            if broken:
+                errors[r["file"]] = "tables not read: " + "; ".join(f"{t} ({why})" for t, why in broken.items())
         except sqlite3.Error as problem:
             errors[r["file"]] = str(problem)
     for file, problem in errors.items():
         listed = listed.withColumn("error", F.when(F.col("file") == file, problem).otherwise(F.col("error")))
-    return listed, scan.ordered(rows)
+    return listed.orderBy(F.lower("file")), rows
 
 
 def scan_report(spark: SparkSession, *paths: str) -> DataFrame:
@@ -148,7 +157,7 @@ def plan_redaction(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFra
     cells = None
     for r in found.where("type = 'sqlite'").select("file").collect():
         path = r["file"]
-        rows = sqlite.cells(spark, path)
+        rows = sqlite.cells(spark, path).where("rowid IS NOT NULL")  # values located by a key are found, not rewritten
         if "tool_call_state" in sqlite.tables(spark, path):
             calls = sqlite.table(spark, path, "tool_call_state").select(F.col("rowid").alias("__r"), scan.tool_call_flag(F.col("tool_call_json")).isNotNull().alias("semantic"))
             rows = rows.join(calls, (F.col("tab") == "tool_call_state") & (F.col("col") == "tool_call_update_json") & (F.col("rowid") == F.col("__r")), "left")
@@ -206,22 +215,81 @@ def store_inventory(spark: SparkSession, store: str) -> DataFrame:
 def cleanup_plan(spark: SparkSession, store: str, now: float, rules: inventory.Rules | None = None, judge: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(every session with its fate, the sessions to delete).
 
-    ``judge`` maps rows (id, summary) to (id, answer); without one, undecided sessions stay.
+    ``judge`` maps rows (id, title, summary) to (id, answer); without one, undecided sessions stay.
     """
     rules = rules or inventory.Rules()
     rows = inventory.classify(store_inventory(spark, store), rules, now)
-    asked = rows.where("tier = 'judge'").select("id", scalars.session_summary(F.col("title"), F.col("prompt")).alias("summary"))
+    asked = rows.where("tier = 'judge'").select("id", "title", scalars.session_summary(F.col("title"), F.col("prompt")).alias("summary"))
     answers = judge(asked) if judge else spark.createDataFrame([], "id string, answer string")
     fates = inventory.judged(rows, answers)
     return fates, inventory.delete_plan(fates, rules)
 
 
-def clean_up(plan: DataFrame, store: str, export: Callable[[list[str]], None] | None = None) -> int:
-    """Delete the planned sessions; an export that fails stops everything before the first change."""
+def command_judge(command: str, statement: str, timeout: float = 60.0) -> Callable[[DataFrame], DataFrame]:
+    """A judge that asks a program: one JSON object on its input, an answer on its output.
+
+    A program that fails, is not there or takes longer than ``timeout`` seconds
+    gives no answer, and a session without an answer stays.
+    """
+
+    def answer(row) -> str | None:
+        asked = {"statement": statement, "session_id": row["id"], "title": row["title"], "text": row["summary"]}
+        try:
+            done = subprocess.run(command, input=json.dumps(asked), capture_output=True, text=True, shell=True, check=False, timeout=timeout)
+        except (OSError, subprocess.TimeoutExpired):
+            return None
+        return done.stdout if done.returncode == 0 else None
+
+    def judge(rows: DataFrame) -> DataFrame:
+        answers = [(r["id"], answer(r)) for r in rows.toLocalIterator()]  # one program at a time, on this machine
+        return rows.sparkSession.createDataFrame(answers, "id string, answer string")
+
+    return judge
+
+
+def make_judge(spec: str | None, statement: str) -> Callable[[DataFrame], DataFrame] | None:
+    """``none`` or ``command:<program>``."""
+    spec = (spec or "none").strip()
+    if spec == "none":
+        return None
+    if spec.startswith("command:"):
+        return command_judge(spec.removeprefix("command:"), statement)
+    raise ValueError(f"unknown judge {spec!r}; none or command:<program>")
+
+
+def clean_up(plan: DataFrame, store: str, export: Callable[[list[str]], None] | None = None, folder: str | None = None, queue: dict[str, int] | None = None, now: float | None = None) -> dict[str, int]:
+    """Delete the planned sessions, their files in ``folder``, and what waits in ``queue``.
+
+    An export that fails stops everything before the first change.
+    """
     ids = [r["id"] for r in plan.select("id").collect()]  # capped by the rules
     if export:
         export(ids)
-    return sinks.delete_session_rows(store, ids)
+    if folder is None:
+        return {"cli_rows": sinks.delete_session_rows(store, ids), "gui_sessions": 0, "still_locked": 0}
+    return sinks.apply_deletions(store, Path(folder), [(i, "cli") for i in ids], queue if queue is not None else {}, int(time.time() if now is None else now))
+
+
+def clean_leftovers(spark: SparkSession, store: str, folder: str, queue: dict[str, int] | None = None) -> dict[str, int]:
+    """Tier 1: rows without a session, and sidecars and locks of sessions that are gone and do not wait."""
+    sqlite.register(spark)
+    base = Path(folder)
+    names = [(p.name, p.stat().st_size) for p in sorted(base.iterdir()) if p.is_file()] if base.is_dir() else []
+    listed = spark.createDataFrame(names, "name string, bytes bigint")
+    dbs = listed.where(F.endswith("name", F.lit(".db"))).select(F.expr("left(name, length(name) - 3)").alias("id"))
+    waiting = spark.createDataFrame([(i,) for i in queue or {}], "id string")
+    plan = inventory.leftovers(listed, dbs, sqlite.live_ids(spark, store), waiting)
+    files, size = sinks.unlink_planned(base, [r["name"] for r in plan.select("name").collect()])
+    return {"orphan_rows": sinks.delete_orphans(store), "leftover_files": files, "leftover_bytes": size}
+
+
+def clean_state(state: DataFrame, gate: DataFrame, db: str, running: bool) -> dict[str, int]:
+    """Tier 3: stale state keys, only behind a snapshot that passes the gate and only if nothing runs."""
+    told = gate.limit(1).first()
+    if running or not told or not told["ok"]:
+        raise PermissionError("something is running" if running else f"no snapshot that allows it: {told['reason'] if told else 'none'}")
+    keys = inventory.stale_keys(state, gate, running).select("key", "bytes").collect()
+    return {"keys": sinks.delete_keys(db, [r["key"] for r in keys]), "bytes": sum(r["bytes"] for r in keys)}
 
 
 def plan_summary(fates: DataFrame, plan: DataFrame, apply: bool) -> str:
@@ -231,6 +299,26 @@ def plan_summary(fates: DataFrame, plan: DataFrame, apply: bool) -> str:
     return "\n".join(lines + [f"  {r['rank']:>3} {r['id']}  {r['tier']}: {r['reason']}" for r in plan.orderBy("rank").collect()])
 
 
+def space_table(report: DataFrame, labelled: DataFrame | None = None) -> str:
+    """A space report as a table, an error where a store has one, and the first labelled sessions."""
+    lines = [f"{'store':<16}{'bytes':>16}{'recoverable':>16}"]
+    for r in report.orderBy(F.col("name") == "total", "name").collect():  # a row a store
+        lines.append(f"{r['name']:<16}{r['bytes']:>16}{r['shown']:>16}" + (f"  error: {r['error']}" if r["error"] else ""))
+    if labelled is not None:
+        count = labelled.count()
+        lines += [f"labelled sessions: {count}"] if count else []
+        lines += [f"  [{r['label']}] {r['id']}  {r['day']}  {r['title']}" for r in inventory.first_labelled(labelled).collect()]
+        lines += [f"  and {count - 10} more"] if count > 10 else []
+    return "\n".join(lines)
+
+
+def diff_table(changes: DataFrame, limit: int = 1000) -> str:
+    """A snapshot difference (path, status) as lines; what is beyond ``limit`` is counted."""
+    rows = changes.orderBy("path").limit(limit + 1).collect()
+    lines = [f"{r['status']:<10} {r['path']}" for r in rows[:limit]]
+    return "\n".join(lines + ([f"and {changes.count() - limit} more"] if len(rows) > limit else []))
+
+
 def discover(spark: SparkSession, root: str, name: str = "data", excluded_dirs: list[str] | None = None) -> DataFrame:
     """Stores under a root with size and digest."""
     base = str(Path(root).resolve())

@@ -50,8 +50,8 @@ def score(user_msgs: Column, tool_calls: Column) -> Column:
 
 
 def session_summary(title: Column, prompt: Column) -> Column:
-    """What a judge reads: the title and the first prompt, bounded."""
-    return F.substring(F.concat_ws("\n", title, F.substring(prompt, 1, 1500)), 1, 4000)
+    """What a judge reads: the title and, below an empty line, the first prompt if there is one, bounded."""
+    return F.substring(F.concat_ws("\n\n", F.coalesce(title, F.lit("")), F.nullif(F.substring(prompt, 1, 1500), F.lit(""))), 1, 4000)
 
 
 # Words that decide a verdict.
@@ -76,7 +76,8 @@ def parse_verdict(text: Column) -> Column:
 
 
 def fmt_bytes(n: Column) -> Column:
-    """A byte count with a unit: whole bytes, else one decimal."""
+    """A byte count with a unit: whole bytes, else one decimal; a negative one is none."""
+    n = F.greatest(n, F.lit(0))
     x, shown = n.cast("double"), F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         shown = F.when(x >= 1024.0**i, F.format_string(f"%.1f {unit}", F.bround(x / 1024.0**i, 1))).otherwise(shown)
@@ -120,11 +121,20 @@ def export_session_id(name: Column, text: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """A shell pattern as a regular expression; ``*`` crosses slashes."""
-    out = ""
-    for c in pattern:
-        out += ".*" if c == "*" else "." if c == "?" else "\\" + c if c in r".^$+{}()|\\[]" else c
-    return f"(?s)^{out}$"
+    """A shell pattern as a regular expression; ``*`` crosses slashes, ``[...]`` is a class, ``[!...]`` its opposite."""
+    out, at = "", 0
+    plain = lambda c: "\\" + c if c in r".^$+{}()|\[]*?-&~" else c
+    while at < len(pattern):
+        c, at = pattern[at], at + 1
+        end = pattern.find("]", at + (2 if pattern[at : at + 1] == "!" else 1)) if c == "[" else -1
+        if end > 0:
+            inside, negated = pattern[at:end], pattern[at] == "!"
+            inside = inside[1:] if negated else inside
+            out += "[" + "^" * negated + "".join("\\" + x if x in r"\[]^&~" else x for x in inside) + "]"
+            at = end + 1
+        else:
+            out += ".*" if c == "*" else "." if c == "?" else plain(c)
+    return rf"(?s)^{out}\z"
 
 
 def excluded(path: Column, patterns: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -34,6 +34,7 @@ class Rules:
     judge_max_user_msgs: int = 6
     judge_max_tool_calls: int = 15
     judge_max_score: int = 20
+    judge_statement: str = "The session holds knowledge that later work can use again: decisions, conventions, fixes or context of the project."
 
     @classmethod
     def load(cls, text: str | None) -> Rules:
@@ -101,9 +102,13 @@ def merged(cli: DataFrame, gui: DataFrame) -> DataFrame:
 
 def duplicates(rows: DataFrame) -> DataFrame:
     """Rows with ``duplicate``: another row of equal project and normalised title has a higher score (or comes first)."""
-    title = scalars.norm_title(F.col("title"))
-    w = Window.partitionBy("project", title).orderBy(scalars.score(F.col("user_msgs"), F.col("tool_calls")).desc(), "origin", "id")
-    return rows.withColumn("duplicate", (title != "") & (F.row_number().over(w) > 1))
+    title, points = scalars.norm_title(F.col("title")), scalars.score(F.col("user_msgs"), F.col("tool_calls"))
+    named = rows.select("project", title.alias("norm"), F.struct((-points).alias("p"), "origin", "id").alias("rank")).where("norm <> ''")
+    # One row a title by partial aggregation, so the untitled and a frequent title meet in no task.
+    best = named.groupBy("project", "norm").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("project").alias("__p"), "norm", "best")
+    met = rows.withColumn("__t", title).join(best, F.col("project").eqNullSafe(F.col("__p")) & (F.col("__t") == F.col("norm")), "left")
+    other = (F.col("best.id") != F.col("id")) | (F.col("best.origin") != F.col("origin"))
+    return met.withColumn("duplicate", F.coalesce(other, F.lit(False))).drop("__p", "__t", "norm", "best")
 
 
 def classify(rows: DataFrame, rules: Rules, now: float, keep_ids: DataFrame | None = None, keep_patterns: list[str] | None = None) -> DataFrame:
@@ -144,8 +149,9 @@ def tier_of(ids: DataFrame, classified: DataFrame) -> DataFrame:
 
 
 def preview(classified: DataFrame) -> DataFrame:
-    """tier, reason, sessions and the ids under them."""
-    return classified.groupBy("tier", "reason").agg(F.count(F.lit(1)).alias("sessions"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """A row a session: tier, reason, the sessions under that reason, id."""
+    counts = classified.groupBy("tier", "reason").agg(F.count(F.lit(1)).alias("sessions"))
+    return classified.select("tier", "reason", "id").join(F.broadcast(counts), ["tier", "reason"]).select("tier", "reason", "sessions", "id")  # as many counts as rules
 
 
 def judged(classified: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -247,13 +253,55 @@ def store_totals(stores: DataFrame) -> DataFrame:
     return both.withColumn("shown", scalars.fmt_bytes(F.col("recoverable_bytes")))
 
 
-def space_report(stores: dict[str, DataFrame]) -> DataFrame:
-    """A row a store of (bytes, recoverable_bytes) frames of one row; the total last."""
-    rows = None
+def space_report(stores: dict[str, DataFrame | str]) -> DataFrame:
+    """A row a store of (bytes, recoverable_bytes) frames of one row; the total last.
+
+    A store that could not be read is given by its error, and is a row of no bytes with it.
+    """
+    rows, errors = None, {n: s for n, s in stores.items() if isinstance(s, str)}
     for name, one in stores.items():
-        row = one.select(F.lit(name).alias("name"), F.col("bytes").cast("bigint").alias("bytes"), F.col("recoverable_bytes").cast("bigint").alias("recoverable_bytes"))
-        rows = row if rows is None else rows.unionByName(row)
-    return store_totals(rows)
+        if not isinstance(one, str):
+            row = one.select(F.lit(name).alias("name"), F.col("bytes").cast("bigint").alias("bytes"), F.col("recoverable_bytes").cast("bigint").alias("recoverable_bytes"))
+            rows = row if rows is None else rows.unionByName(row)
+    if errors:
+        spark = SparkSession.getActiveSession()
+        broken = spark.createDataFrame([(n, 0, 0) for n in errors], "name string, bytes bigint, recoverable_bytes bigint")
+        rows = broken if rows is None else rows.unionByName(broken)
+    why = F.lit(None).cast("string")
+    for name, problem in errors.items():
+        why = F.when(F.col("name") == name, problem).otherwise(why)
+    return store_totals(rows).withColumn("error", why)
+
+
+def deletable(*ids: DataFrame) -> DataFrame:
+    """(id): every id of several lists, once."""
+    every = ids[0].select("id")
+    for more in ids[1:]:
+        every = every.union(more.select("id"))
+    return every.distinct()
+
+
+def stale_keys(state: DataFrame, gate: DataFrame, running: bool = False) -> DataFrame:
+    """Keys of ``gui_state`` that may be deleted: the stale ones, if the snapshot passes the gate and nothing runs.
+
+    ``gate``: one row (ok), as ``snapshots.deletion_gate`` makes it.
+    """
+    open_ = gate.select(F.coalesce("ok", F.lit(False)).alias("__ok")).limit(1)
+    return state.where("stale").join(F.broadcast(open_)).where(F.col("__ok") & F.lit(not running)).drop("__ok")
+
+
+def first_labelled(rows: DataFrame, n: int = 10) -> DataFrame:
+    """The first sessions of ``labelled`` that a text report shows, by id, and when they were active in the session's time zone."""
+    day = F.date_format(F.timestamp_seconds("last_activity"), "yyyy-MM-dd")
+    return rows.orderBy("id").limit(n).select("id", "label", "title", F.coalesce(day, F.lit("-")).alias("day"))
+
+
+def span_shown(spans: DataFrame) -> DataFrame:
+    """``span`` as text: two days in the session's time zone, one if they are equal, ``-`` if there is none."""
+    day = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd")
+    a, b = day("oldest"), day("newest")
+    both = F.when(a.isNull() | (a == b), F.coalesce(b, a)).otherwise(F.concat(a, F.lit(" → "), F.coalesce(b, F.lit(""))))
+    return spans.select(F.coalesce(both, F.lit("-")).alias("span"))
 
 
 def cleanup_tiers(sidecar_bytes: DataFrame, orphan: DataFrame, leftover: DataFrame, locks: DataFrame, stale_sessions: DataFrame, stale_gui: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import inventory as inv
 from .seeds import MESSAGES, NOW, SESSIONS, view
 
@@ -59,7 +60,7 @@ def classification_summary(spark, sf):
 
 
 def classification_preview(spark, sf):
-    return inv.preview(classified(spark, sf)).select("tier", "reason", "sessions", F.array_join("ids", ",").alias("ids"))
+    return inv.preview(classified(spark, sf))
 
 
 ANSWERS = """SELECT DISTINCT CAST(conv_id AS STRING) AS id, CASE conv_id % 6 WHEN 0 THEN 'keep' WHEN 1 THEN '{"keep": false}' WHEN 2 THEN 'This is noise, delete it' WHEN 3 THEN '{"abstained": 1}' WHEN 4 THEN '{"verdict": "Durable."}' ELSE 'hm' END AS answer FROM conversations"""
@@ -74,8 +75,7 @@ def judge_step(spark, sf):
 
 
 def delete_plan(spark, sf):
-    rules = inv.Rules(max_delete=25)
-    return inv.delete_plan(inv.judged(classified(spark, sf), view(spark, sf, ANSWERS)), rules).withColumn("rank", F.col("rank").cast("bigint"))
+    return inv.delete_plan(inv.judged(classified(spark, sf), view(spark, sf, ANSWERS)), RULES).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 ORDER = "ORDER BY CASE WHEN tier = 'auto_delete' THEN 0 ELSE 1 END, id"
@@ -190,14 +190,45 @@ def space_report(spark, sf):
     freed = deletable_bytes(spark, sf).select(F.col("bytes").alias("recoverable_bytes"))
     store = est.agg(F.sum("bytes").alias("bytes")).join(freed)
     locks = view(spark, sf, LEFT_FILES).agg(F.sum("bytes").alias("bytes")).join(leftovers(spark, sf).agg(F.sum("bytes").alias("recoverable_bytes")))
-    return inv.space_report({"sessions": store, "locks": locks, "gui state": state.agg(F.sum("bytes").alias("bytes"), F.lit(0).alias("recoverable_bytes"))})
+    gui = state.agg(F.sum("bytes").alias("bytes"), F.lit(0).alias("recoverable_bytes"))
+    return inv.space_report({"sessions": store, "locks": locks, "gui state": gui, "messages": "database is locked"})
 
 
 SPACE = f"""WITH s AS (SELECT 'sessions' AS name, (SELECT sum(bytes) FROM ({ESTIMATES})) AS bytes, (SELECT bytes FROM ({DELETABLE})) AS recoverable_bytes
-  UNION ALL SELECT 'locks', (SELECT sum(bytes) FROM ({LEFT_FILES})), (SELECT sum(bytes) FROM ({LEFTOVERS})) UNION ALL SELECT 'gui state', (SELECT sum(bytes) FROM ({GUI})), 0),
+  UNION ALL SELECT 'locks', (SELECT sum(bytes) FROM ({LEFT_FILES})), (SELECT sum(bytes) FROM ({LEFTOVERS})) UNION ALL SELECT 'gui state', (SELECT sum(bytes) FROM ({GUI})), 0 UNION ALL SELECT 'messages', 0, 0),
 a AS (SELECT * FROM s UNION ALL SELECT 'total', sum(bytes), sum(recoverable_bytes) FROM s)
 SELECT name, CAST(bytes AS BIGINT) AS bytes, CAST(recoverable_bytes AS BIGINT) AS recoverable_bytes, CASE WHEN recoverable_bytes < 1024 THEN CAST(CAST(recoverable_bytes AS BIGINT) AS VARCHAR) || ' B'
-  WHEN recoverable_bytes < 1048576 THEN printf('%.1f KB', recoverable_bytes / 1024.0) WHEN recoverable_bytes < 1073741824 THEN printf('%.1f MB', recoverable_bytes / 1048576.0) ELSE printf('%.1f GB', recoverable_bytes / 1073741824.0) END AS shown FROM a"""
+  WHEN recoverable_bytes < 1048576 THEN printf('%.1f KB', recoverable_bytes / 1024.0) WHEN recoverable_bytes < 1073741824 THEN printf('%.1f MB', recoverable_bytes / 1048576.0) ELSE printf('%.1f GB', recoverable_bytes / 1073741824.0) END AS shown, CASE name WHEN 'messages' THEN 'database is locked' END AS error FROM a"""
+
+
+def session_summaries(spark, sf):
+    """What a judge would read of every session."""
+    return rows(spark, sf).select("id", scalars.session_summary(F.col("title"), F.col("prompt")).alias("summary"))
+
+
+SUMMARIES = f"WITH {ROWS_SQL} SELECT id, substr(title || CASE WHEN prompt <> '' THEN chr(10) || chr(10) || substr(prompt, 1, 1500) ELSE '' END, 1, 4000) AS summary FROM inv"
+GATES = "SELECT CASE WHEN count(*) >= 0 THEN true END AS ok FROM region"
+
+
+def stale_keys(spark, sf):
+    """State keys that go behind a gate that is open; behind a closed one, or while something runs, none do."""
+    state, gate = gui_state(spark, sf), view(spark, sf, GATES)
+    shut = inv.stale_keys(state, gate.select(F.lit(False).alias("ok"))).unionByName(inv.stale_keys(state, gate, running=True))
+    return inv.stale_keys(state, gate).select("key", "bytes").unionByName(shut.select("key", "bytes"))
+
+
+def deletable_ids(spark, sf):
+    """Planned sessions, waiting ones and orphaned ones, once each."""
+    waiting = view(spark, sf, "SELECT CAST(user_id AS STRING) AS id FROM events WHERE user_id % 9 = 0")
+    return inv.deletable(delete_plan(spark, sf), waiting, leftovers(spark, sf).select(F.col("sid").alias("id")))
+
+
+def first_labelled(spark, sf):
+    return inv.first_labelled(labelled_sessions(spark, sf))
+
+
+def span_days(spark, sf):
+    return inv.span_shown(activity_span(spark, sf))
 
 
 def activity_span(spark, sf):
@@ -222,6 +253,11 @@ def tier_lookup(spark, sf):
 
 QUERIES = {
     "tier_lookup": tier_lookup,
+    "session_summaries": session_summaries,
+    "stale_keys": stale_keys,
+    "deletable_ids": deletable_ids,
+    "first_labelled": first_labelled,
+    "span_days": span_days,
     "session_inventory": session_inventory,
     "inventory_union": inventory_union,
     "classify_sessions": classify_sessions,
@@ -243,15 +279,21 @@ QUERIES = {
     "activity_span": activity_span,
     "latest_session": latest_session,
 }
+PLAN_SQL = f"{ACTED}, plan AS (SELECT id, tier, reason, row_number() OVER ({ORDER}) AS rank FROM acted WHERE action = 'delete' {ORDER} LIMIT {RULES.max_delete})"
 ORACLES = {
+    "session_summaries": SUMMARIES,
+    "stale_keys": f"SELECT key, bytes FROM ({GUI}) WHERE stale",
+    "deletable_ids": f"{PLAN_SQL} SELECT id FROM plan UNION SELECT CAST(user_id AS VARCHAR) FROM events WHERE user_id % 9 = 0 UNION SELECT sid FROM ({LEFTOVERS})",
+    "first_labelled": f"SELECT id, label, title, strftime(make_timestamp(CAST(last_activity * 1000000 AS BIGINT)), '%Y-%m-%d') AS day FROM ({LABELLED}) ORDER BY id LIMIT 10",
+    "span_days": f"SELECT strftime(make_timestamp(CAST(min(least(created, last_activity)) * 1000000 AS BIGINT)), '%Y-%m-%d') || ' → ' || strftime(make_timestamp(CAST(max(greatest(created, last_activity)) * 1000000 AS BIGINT)), '%Y-%m-%d') AS span FROM ({SESSIONS})",
     "tier_lookup": f"{CLASSIFIED} SELECT id, coalesce(tier, 'judge') AS tier FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events) LEFT JOIN classified USING (id)",
     "session_inventory": f"WITH {ROWS_SQL} SELECT * FROM inv",
     "inventory_union": INVENTORY_UNION,
     "classify_sessions": f"{CLASSIFIED} SELECT id, title, project, score, tier, reason FROM classified",
     "classification_summary": f"{CLASSIFIED} SELECT tier, count(*) AS sessions FROM classified GROUP BY tier",
-    "classification_preview": f"{CLASSIFIED} SELECT tier, reason, count(*) AS sessions, string_agg(id, ',' ORDER BY id) AS ids FROM classified GROUP BY tier, reason",
+    "classification_preview": f"{CLASSIFIED} SELECT tier, reason, count(*) OVER (PARTITION BY tier, reason) AS sessions, id FROM classified",
     "judge_step": f"{ACTED} SELECT id, tier, action FROM acted",
-    "delete_plan": f"{ACTED} SELECT id, tier, reason, row_number() OVER ({ORDER}) AS rank FROM acted WHERE action = 'delete' {ORDER} LIMIT 25",
+    "delete_plan": f"{ACTED} SELECT id, tier, reason, row_number() OVER ({ORDER}) AS rank FROM acted WHERE action = 'delete' {ORDER} LIMIT {RULES.max_delete}",
     "delete_rows": f"{ACTED} SELECT session_id, count(*) AS messages FROM messages WHERE session_id NOT IN (SELECT id FROM acted WHERE action = 'delete') GROUP BY session_id",
     "byte_estimates": ESTIMATES,
     "tier_bytes": f"{CLASSIFIED} SELECT coalesce(tier, 'keep') AS tier, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS sessions FROM ({ESTIMATES}) LEFT JOIN classified USING (id) GROUP BY 1",

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..streaming import sessions
 from .seeds import SPLITS
 
 
 def _folder(spark: SparkSession) -> str:
     """A folder of this run in the shared folder of the cluster, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lanternfish-')}"
-    return f"{base.rstrip('/')}/lanternfish/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lanternfish/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -24,15 +24,16 @@ def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def activity_windows(spark, sf):
-    """Events by user and hour; the result of the last batch is the table's."""
+    """Events by user and hour.  Batches give the windows that changed, so old ones leave the state; the last count of each is the table's."""
     out = _folder(spark)
     made = sessions.activity_windows(_stream(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows")
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/rows")
 
-    made.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    made.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("start timestamp, user_id bigint, events bigint, batch int").parquet(f"{out}/rows")
+    return rows.groupBy("start", "user_id").agg(F.max_by("events", "batch").alias("events"))
 
 
 WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS start, user_id, count(*) AS events FROM events GROUP BY 1, 2"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,6 +30,23 @@ def build_session(app: str = "lanternfish", cpus: str | None = None, partitions:
     return reachable(spark)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local master gets a temporary one, which goes with the
+    process; on a cluster, where executors would not share it, that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lanternfish-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def reachable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it.
 

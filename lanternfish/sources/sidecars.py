@@ -28,7 +28,8 @@ def keep_ids(raw: DataFrame) -> DataFrame:
 
 
 def keep_patterns(raw: DataFrame) -> list[str]:
-    rows = raw.select(F.explode(F.from_json("text", "struct<title_patterns:array<string>>")["title_patterns"]).alias("p")).limit(1000).collect()
+    """All title patterns of a keep file, which become one regular expression."""
+    rows = raw.select(F.explode(F.from_json("text", "struct<title_patterns:array<string>>")["title_patterns"]).alias("p")).collect()
     return [r["p"] for r in rows]
 
 

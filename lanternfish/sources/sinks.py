@@ -20,7 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.snapshots import NAME, PRE_RESTORE
-from .sqlite import connect
+from .sqlite import connect, quoted, schema_version
+
+
+# The tables whose rows belong to a session.
+SESSION_TABLES = ("message_nodes", "tool_call_state", "prompt_history", "rendered_commits", "subagent_heads")
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -96,9 +100,11 @@ def create_snapshot(root: Path, entries: list[dict], out: Path, now: float | Non
             else:
                 shutil.copy2(src, dst)
             os.chmod(dst, 0o600)
-            files.append({**e, "root": e.get("root", "data"), "copied_via": how, "size": dst.stat().st_size, "sha256": file_sha256(dst)})
+            version = schema_version(str(dst)) if e["kind"] == "sqlite" else None
+            files.append({**e, "root": e.get("root", "data"), "copied_via": how, "size": dst.stat().st_size, "sha256": file_sha256(dst), "schema_version": version})
         stamp = datetime.fromtimestamp(time.time() if now is None else now, UTC).isoformat().replace("+00:00", "Z")
-        (target / "manifest.json").write_text(json.dumps({"manifest_version": 2, "created_at": stamp, "files": files}, indent=1))
+        versions = {f["snapshot_path"]: f["schema_version"] for f in files if f["schema_version"] is not None}
+        (target / "manifest.json").write_text(json.dumps({"manifest_version": 2, "created_at": stamp, "files": files, "schema_versions": versions}, indent=1))
     except BaseException:
         shutil.rmtree(target, ignore_errors=True)
         raise
@@ -171,7 +177,72 @@ def delete_files(paths: list[Path], queue: dict[str, int], session_id: str, now:
     return True
 
 
-def delete_session_rows(db: str, session_ids: list[str], tables: tuple[str, ...] = ("message_nodes", "tool_call_state", "prompt_history", "rendered_commits", "subagent_heads")) -> int:
+def session_files(folder: Path, session_id: str) -> list[Path]:
+    """The database, sidecars and lock of a session; its id is no pattern."""
+    own = [p for p in sorted(folder.iterdir()) if p.is_file()] if folder.is_dir() else []
+    return [p for p in own if p.name.startswith(f"{session_id}.db") or p.name == f"{session_id}.lock"]
+
+
+def retry_pending(folder: Path, queue: dict[str, int], now: int) -> dict[str, int]:
+    """Try every waiting session again; those whose files went leave the queue, the others keep their first time."""
+    for session_id in list(queue):
+        delete_files(session_files(folder, session_id), queue, session_id, now)
+    return queue
+
+
+def apply_deletions(db: str, folder: Path, targets: list[tuple[str, str]], queue: dict[str, int], now: int) -> dict[str, int]:
+    """Delete the rows and files of (id, origin) sessions, then retry what waits; counts of what went and what still waits."""
+    rows = delete_session_rows(db, [i for i, _ in targets])
+    gone = 0
+    for session_id, origin in targets:
+        files = session_files(folder, session_id)
+        if files or origin == "gui":
+            gone += delete_files(files, queue, session_id, now)
+    return {"cli_rows": rows, "gui_sessions": gone, "still_locked": len(retry_pending(folder, queue, now))}
+
+
+def unlink_planned(folder: Path, names: list[str]) -> tuple[int, int]:
+    """Remove leftovers or locks by name; (files, bytes) that went.  What cannot go stays for the next run."""
+    files = size = 0
+    for n in names:
+        path = inside(folder, n)
+        try:
+            own = path.stat().st_size
+            path.unlink()
+        except OSError:
+            continue
+        files, size = files + 1, size + own
+    return files, size
+
+
+def delete_orphans(db: str, tables: tuple[str, ...] = SESSION_TABLES) -> int:
+    """Delete rows whose session is not there, in one transaction; tables that are absent are skipped."""
+    con = sqlite3.connect(db, timeout=30)
+    try:
+        with con:
+            have = {r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+            return sum(con.execute(f"DELETE FROM {quoted(t)} WHERE session_id NOT IN (SELECT id FROM sessions)").rowcount for t in tables if t in have)
+    finally:
+        con.close()
+
+
+def delete_keys(db: str, keys: list[str], table: str = "ItemTable") -> int:
+    """Delete planned state keys in one transaction and compact the store, if that can be done."""
+    con = sqlite3.connect(db, timeout=30)
+    try:
+        with con:
+            gone = sum(con.execute(f"DELETE FROM {quoted(table)} WHERE key = ?", (k,)).rowcount for k in keys)
+        try:
+            con.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+            con.execute("VACUUM")
+        except sqlite3.Error:
+            pass  # the keys are gone; the space can wait
+        return gone
+    finally:
+        con.close()
+
+
+def delete_session_rows(db: str, session_ids: list[str], tables: tuple[str, ...] = SESSION_TABLES) -> int:
     """Delete sessions and their rows from a store in one transaction; tables that are absent are skipped."""
     con = sqlite3.connect(db, timeout=30)
     try:

@@ -81,7 +81,7 @@ def test_clean_up(spark, tree):
 
     with pytest.raises(RuntimeError):
         api.clean_up(plan, store, fails)
-    assert api.session_exists(spark, store, "noise") and api.clean_up(plan, store) == 2 and api.session_exists(spark, store, "noise") is False
+    assert api.session_exists(spark, store, "noise") and api.clean_up(plan, store)["cli_rows"] == 2 and api.session_exists(spark, store, "noise") is False
 
 
 def test_snapshots(spark, tree, tmp_path):
@@ -110,3 +110,78 @@ def test_command_line(spark, tree, capsys):
 
     assert main(["verify", str(tree / "fine.txt")]) == 0 and main(["gate", str(tree / "store.db")]) == 1
     assert main(["scan", str(tree / "notes.md")]) == 0 and "REVIEW" in capsys.readouterr().out
+
+
+def test_no_store_with_a_key_reads_clean(spark, tmp_path):
+    """A key in a column declared INTEGER, one in a table WITHOUT ROWID, and a table that cannot be read."""
+    for name, sql in {
+        "typed.db": ["CREATE TABLE t (n INTEGER, d REAL)", f"INSERT INTO t VALUES ('{KEY}', 1.5)"],
+        "keyed.db": ["CREATE TABLE t (k TEXT, i INT, v BLOB, PRIMARY KEY (k, i)) WITHOUT ROWID", f"INSERT INTO t VALUES ('a', 1, '{KEY}')"],
+    }.items():
+        con = sqlite3.connect(tmp_path / name)
+        for s in sql:
+            con.execute(s)
+        con.commit()
+        con.close()
+    _, findings = api.scan_paths(spark, str(tmp_path))
+    assert {(r.file.rsplit("/", 1)[1], r.category, r.location) for r in findings.collect()} == {("typed.db", "api_key", "t.n#rowid=1:line 1"), ("keyed.db", "api_key", "t.v#key=a/1:line 1")}
+    assert api.gate(spark, str(tmp_path)) == 1
+    broken = tmp_path / "b" / "broken.db"
+    broken.parent.mkdir()
+    con = sqlite3.connect(broken)
+    con.execute("CREATE TABLE fine (x TEXT)")
+    con.execute("PRAGMA writable_schema = ON")
+    con.execute("INSERT INTO sqlite_master VALUES ('table', 'gone', 'gone', 0, 'CREATE VIRTUAL TABLE gone USING nothing_like_it(x)')")
+    con.commit()
+    con.close()
+    listed, findings = api.scan_paths(spark, str(broken.parent))
+    assert "gone" in listed.first().error and findings.count() == 0 and api.gate(spark, str(broken.parent)) == 2
+
+
+def test_judge_by_command(spark):
+    rows = spark.createDataFrame([("a", "T", "T\n\np"), ("b", "drop", "drop")], "id string, title string, summary string")
+    said = lambda spec: {r.id: r.answer for r in api.make_judge(spec, "kept?")(rows).collect()}
+    assert json.loads(said("command:cat")["a"]) == {"statement": "kept?", "session_id": "a", "title": "T", "text": "T\n\np"}
+    assert said("command:exit 3") == {"a": None, "b": None} == said("command:no-such-program-anywhere")
+    assert {r.answer for r in api.command_judge("sleep 5", "s", timeout=0.2)(rows).collect()} == {None}
+    assert api.make_judge(None, "s") is None
+    with pytest.raises(ValueError):
+        api.make_judge("oracle", "s")
+
+
+def test_clean_leftovers_and_state(spark, tree, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    for n in ("work.lock", "live.db", "live.db-wal", "dead.db-wal", "dead.lock", "waits.lock", "notes.txt"):
+        (folder / n).write_bytes(b"xyz")
+    con = sqlite3.connect(tree / "store.db")
+    con.execute("INSERT INTO message_nodes VALUES (9, 'nobody', 'x')")
+    con.commit()
+    con.close()
+    assert api.clean_leftovers(spark, str(tree / "store.db"), str(folder), {"waits": 1}) == {"orphan_rows": 1, "leftover_files": 2, "leftover_bytes": 6}
+    assert sorted(p.name for p in folder.iterdir()) == ["live.db", "live.db-wal", "notes.txt", "waits.lock", "work.lock"]
+    db = tmp_path / "state.db"
+    con = sqlite3.connect(db)
+    con.execute("CREATE TABLE ItemTable (key TEXT, value TEXT)")
+    con.execute("INSERT INTO ItemTable VALUES ('a', '1'), ('b', '2')")
+    con.commit()
+    con.close()
+    state = spark.createDataFrame([("a", 2, True), ("b", 2, False)], "key string, bytes long, stale boolean")
+    gate = lambda ok: spark.createDataFrame([(ok, None if ok else "too old")], "ok boolean, reason string")
+    for refused in (lambda: api.clean_state(state, gate(False), str(db), False), lambda: api.clean_state(state, gate(True), str(db), True), lambda: api.clean_state(state, gate(True).limit(0), str(db), False)):
+        with pytest.raises(PermissionError):
+            refused()
+    assert api.clean_state(state, gate(True), str(db), False) == {"keys": 1, "bytes": 2}
+    con = sqlite3.connect(db)
+    assert con.execute("SELECT key FROM ItemTable").fetchall() == [("b",)]
+    con.close()
+
+
+def test_tables_in_words(spark):
+    from lanternfish.operators import inventory
+
+    one = spark.createDataFrame([(2048, -5)], "bytes long, recoverable_bytes long")
+    shown = api.space_table(inventory.space_report({"sessions": one, "locks": "database is locked"}))
+    assert "error: database is locked" in shown and "0 B" in shown and shown.splitlines()[-1].startswith("total")
+    diff = spark.createDataFrame([(f"p{i:03}", "same") for i in range(12)], "path string, status string")
+    assert api.diff_table(diff, 10).splitlines()[-1] == "and 2 more"

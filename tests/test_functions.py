@@ -48,3 +48,27 @@ def test_not_in_has_sql_semantics(spark):
 def test_files_touched(spark):
     rows = spark.createDataFrame([("s", '{"file": "/a/b", "x": "/c", "args": {"paths": ["d/e", "d/e", 3]}}', None), ("s", "bad", '{"path": "nope"}')], "session_id string, tool_call_json string, tool_call_update_json string")
     assert [tuple(r) for r in inventory.tool_counts(rows).collect()] == [("s", 2, 2)]
+
+
+def test_shell_patterns(spark):
+    import fnmatch
+    import re
+
+    from lanternfish.functions import scalars
+
+    names = ["a.pem", "ab.key", "x/b.pem", "[a].pem", "a-c.t", "]x", "a\nb", "!z", "^z", "z&&y"]
+    for pattern in ["*.pem", "?.pem", "[ab].pem", "[!a]*", "[a-c]*.k?y", "[]x]*", "[!]]x", "[[]a].pem", "a[", "*\n*", "[^z]*", "[!-~]z", "z&&y", "[&z]*"]:
+        want = [n for n in names if fnmatch.fnmatchcase(n, pattern)]
+        rows = spark.createDataFrame([(n,) for n in names], "n string").where(__import__("pyspark").sql.functions.col("n").rlike(scalars.glob_regex(pattern)))
+        assert [r.n for r in rows.collect()] == want, pattern
+        re.compile(scalars.glob_regex(pattern).replace(r"\z", r"\Z"))
+
+
+def test_summaries_and_sizes(spark):
+    from pyspark.sql import functions as F
+
+    from lanternfish.functions import scalars
+
+    rows = spark.createDataFrame([("t", "p", -5), ("t", "", 1536), (None, None, 0)], "t string, p string, n long")
+    got = [tuple(r) for r in rows.select(scalars.session_summary(F.col("t"), F.col("p")), scalars.fmt_bytes(F.col("n"))).collect()]
+    assert got == [("t\n\np", "0 B"), ("t", "1.5 KB"), ("", "0 B")]

@@ -21,6 +21,7 @@ def store(tmp_path):
         CREATE TABLE message_nodes (row_id INTEGER PRIMARY KEY, session_id TEXT, chat_message TEXT);
         CREATE TABLE odd (k TEXT PRIMARY KEY, v TEXT) WITHOUT ROWID;"""
     )
+    con.execute("INSERT INTO odd VALUES ('k', 'plain')")
     con.executemany("INSERT INTO sessions VALUES (?, ?, ?, ?, ?)", [("a", "One", "/w/p", 1, 2), ("b", "Two", None, 3, None)])
     con.executemany("INSERT INTO message_nodes VALUES (?, ?, ?)", [(i, "ab"[i % 2], json.dumps({"role": "user", "text": f"hi {MAIL if i == 3 else i}"})) for i in range(1, 8)])
     con.commit()
@@ -37,7 +38,7 @@ def test_sqlite_source(spark, store):
     assert {r.rowid for r in sqlite.table(spark, store, "message_nodes", "a").collect()} == {2, 4, 6}
     assert sqlite.table(spark, store, "sessions", "b").count() == 1
     cells = sqlite.cells(spark, store)
-    assert {r.tab for r in cells.select("tab").distinct().collect()} == {"message_nodes", "sessions"}
+    assert {r.tab for r in cells.select("tab").distinct().collect()} == {"message_nodes", "odd", "sessions"}
     found = scan.cell_findings(cells.select("file", "location", "value")).collect()
     assert [(f.category, f.location) for f in found] == [("email", "message_nodes.chat_message#rowid=3:line 1")]
     assert scan.cell_findings(sqlite.cells(spark, store, "a").select("file", "location", "value")).count() == 0
@@ -130,3 +131,51 @@ def test_export_index(spark):
 def test_rules_from_json():
     rules = inventory.Rules.load('{"max_delete": 7, "unknown": 1}')
     assert rules.max_delete == 7 and rules.grace_hours == 48.0
+
+
+def test_keep_patterns_are_all_read(spark):
+    raw = spark.createDataFrame([(json.dumps({"title_patterns": [f"p{i}" for i in range(1500)]}),)], "text string")
+    assert len(sidecars.keep_patterns(raw)) == 1500
+
+
+def test_walk_prunes_below_the_given_path_and_sees_every_file(spark, tmp_path):
+    base = tmp_path / "venv" / "d"
+    for name, data in {"a.txt": b"x", "empty.txt": b"", ".env": b"A=1", "_x/y.txt": b"z", "node_modules/no.txt": b"x", "s/venv/no.txt": b"x", "s/with space.txt": b"q", ".cfg/deep.txt": b"r"}.items():
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(data)
+    names = lambda *p: sorted(r.path.split("/venv/d/", 1)[1] for r in files.walk(spark, *p).select("path").collect())
+    every = [".cfg/deep.txt", ".env", "_x/y.txt", "a.txt", "empty.txt", "s/with space.txt"]
+    assert names(str(base)) == every and names(str(base), str(base / "s"), str(base) + "/") == every
+    assert names(str(base / ".env")) == [".env"] and names(str(base / "a.txt"), str(base / "empty.txt")) == ["a.txt", "empty.txt"]
+
+
+def test_schema_versions(tmp_path):
+    def made(name, *sql):
+        con = sqlite3.connect(tmp_path / name)
+        for s in sql:
+            con.execute(s)
+        con.commit()
+        con.close()
+        return str(tmp_path / name)
+
+    assert sqlite.schema_version(made("a.db", "CREATE TABLE schema_version (version INTEGER)", "INSERT INTO schema_version VALUES (3), (12)")) == 12
+    assert sqlite.schema_version(made("b.db", "PRAGMA user_version = 7")) == 7 and sqlite.schema_version(made("c.db", "CREATE TABLE t (x)")) is None
+    (tmp_path / "d.db").write_bytes(b"no database at all, but long enough")
+    assert sqlite.schema_version(str(tmp_path / "d.db")) is None and sqlite.schema_version(str(tmp_path / "none.db")) is None
+
+
+def test_pending_files_are_retried(tmp_path):
+    store, folder = tmp_path / "s.db", tmp_path / "m"
+    folder.mkdir()
+    con = sqlite3.connect(store)
+    con.execute("CREATE TABLE sessions (id TEXT)")
+    con.execute("INSERT INTO sessions VALUES ('a'), ('b')")
+    con.commit()
+    con.close()
+    for n in ("a.db", "a.db-wal", "a.lock", "ab.db", "old.db"):
+        (folder / n).write_bytes(b"x")
+    (folder / "b.db").mkdir()  # cannot be unlinked, and is no file of a session
+    queue = {"old": 5}
+    assert sinks.apply_deletions(str(store), folder, [("a", "cli"), ("b", "gui")], queue, 9) == {"cli_rows": 2, "gui_sessions": 2, "still_locked": 0}
+    assert sorted(p.name for p in folder.iterdir()) == ["ab.db", "b.db"] and queue == {}
+    assert sinks.retry_pending(folder, {}, 9) == {}
