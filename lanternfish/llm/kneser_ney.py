@@ -9,10 +9,9 @@ the trusted documents (labelled good and not toxic), all of them.
    suffix: counts of counts give each language three discounts per order, context
    totals the interpolation weights, and the next lower order (whose counts are
    the numbers of distinct letters in front) the rest.
-3. Documents are scored against the table.  If it has at most TABLE_ROWS rows
-   it goes to every task and no text is shuffled; beyond that the distinct
-   n-grams of each document are joined to the table's shards.  Both ways give
-   the same numbers.
+3. Documents are scored in blocks: a block's distinct n-grams are joined to the
+   shards of the table, and the block gets their values back.  No table goes to
+   the driver or to all tasks, whatever its size.
 4. A short text's perplexity says little, so it is drawn to the mean of the
    language's trusted text, which counts as PRIOR further characters.  As a mean
    over a long text hides a few bad words, a text's peak is judged too: the
@@ -35,12 +34,11 @@ ignored by ``judge`` and kept by ``reject``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +48,8 @@ ORDER = 4
 PRIOR = 64
 QUANTILE = 0.995
 WINDOW = 6
-FOLDS = 2
-TABLE_ROWS = 4_000_000
+FOLDS = 4
+BLOCK_BYTES = 24 << 20
 #: Ids that are sent to every task rather than joined by a shuffle: 8 bytes each.
 BROADCAST_IDS = 500_000
 HELD = 500_000
@@ -152,10 +150,17 @@ def _level(counts: DataFrame, lower: DataFrame, order: int) -> tuple[DataFrame,
     return met.select("lang", "gram", (F.col("a") + F.col("gamma") * F.col("low")).alias("p")), contexts.select("lang", "context", "gamma")
 
 
-def train(trusted: DataFrame) -> DataFrame:
+def train(trusted: DataFrame, teaches: Column | None = None) -> DataFrame:
     """(kind, lang, gram, value): log p of seen n-grams under kinds 1-4, log weights of
-    contexts under kinds 11-13, and the log p of an unseen character under kind 0."""
-    counts = {ORDER: store.cut(count_grams(trusted), "grams")}
+    contexts under kinds 11-13, and the log p of an unseen character under kind 0.
+
+    ``trusted``: lang, text.  ``teaches``: the models that text of a ``lang`` goes
+    into, its own by default; texts are counted once, whatever their number.
+    """
+    found = count_grams(trusted)
+    if teaches is not None:
+        found = found.select(F.explode(teaches).alias("lang"), "gram", "c").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    counts = {ORDER: store.cut(found, "grams")}
     for order in range(ORDER - 1, 0, -1):
         above = counts[order + 1].select("lang", F.col("gram").bitwiseAND(_mask(order)).alias("gram"))
         counts[order] = store.cut(above.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")), "grams")
@@ -173,155 +178,122 @@ def train(trusted: DataFrame) -> DataFrame:
     return store.cut(rows, "model")
 
 
-class Table:
-    """The model as one open-addressing table: 64-bit mixed keys and log values."""
-
-    def __init__(self, langs: list[str], kind: np.ndarray, lang: np.ndarray, gram: np.ndarray, value: np.ndarray):
-        self.langs = {x: i for i, x in enumerate(langs)}
-        keys = self.key(kind, lang, gram)
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys, self.values = (keys, value) if len(keys) else (np.zeros(1, np.uint64), np.zeros(1))
-        place, left = (keys >> U(64 - self.bits)).astype(np.int64), np.arange(len(keys))
-        while len(left):
-            free = self.slots[place[left]] < 0
-            self.slots[place[left[free]]] = left[free]
-            left = left[self.slots[place[left]] != left]
-            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
-
-    @staticmethod
-    def key(kind, lang, gram: np.ndarray) -> np.ndarray:
-        salt = texthash.mix(np.asarray(kind, np.uint64) * U(0x9E3779B97F4A7C15) + np.asarray(lang, np.uint64) * U(0xC2B2AE3D27D4EB4F) + U(1))
-        return texthash.mix(gram ^ salt)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the keys, and whether each is there."""
-        value, there = np.zeros(len(keys)), np.zeros(len(keys), bool)
-        place, left = (keys >> U(64 - self.bits)).astype(np.int64), None
-        while True:
-            slot = self.slots[place if left is None else place[left]]
-            hit = (slot >= 0) & (self.keys[slot] == (keys if left is None else keys[left]))
-            at = np.flatnonzero(hit) if left is None else left[hit]
-            value[at], there[at] = self.values[slot[hit]], True
-            on = (slot >= 0) & ~hit
-            left = np.flatnonzero(on) if left is None else left[on]
-            if not len(left):
-                return value, there
-            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
-
-    def log_p(self, k: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        out, there = self.find(self.key(ORDER, lang, k))
-        left = np.flatnonzero(~there)
-        for order in range(ORDER - 1, -1, -1):
-            if not len(left):
-                break
-            context = k[left] >> U(16) if order == ORDER - 1 else (k[left] & U((1 << 16 * (order + 1)) - 1)) >> U(16)
-            if order:
-                out[left] += self.find(self.key(10 + order, lang[left], context))[0]
-            value, there = self.find(self.key(order, lang[left], k[left] & U((1 << 16 * order) - 1)))
-            out[left] += value
-            left = left[~there]
-        return out
-
-
-def _broadcast(spark: SparkSession, model: DataFrame):
-    """The model in a broadcast variable; the caller has checked its size."""
-    t = model.toArrow().combine_chunks()
-    langs = sorted(set(t["lang"].to_pylist()))
-    number = {x: i for i, x in enumerate(langs)}
-    codes = np.array([number[x] for x in t["lang"].to_pylist()], np.uint64)
-    return spark.sparkContext.broadcast((langs, t["kind"].to_numpy().astype(np.uint8), codes.astype(np.uint16), t["gram"].to_numpy().view(np.uint64), t["value"].to_numpy()))
-
-
-_tables: dict[str, Table] = {}
-
-
-def score(documents: DataFrame, model: DataFrame, text: str, lang: str, column: str, largest: int = TABLE_ROWS) -> DataFrame:
-    """``documents`` with the log perplexity of each text in ``column`` (null without a model) and its peak's in ``column``_peak."""
-    spark = documents.sparkSession
-    store.small_batches(spark)
-    if model.limit(largest + 1).count() > largest:
-        return score_by_shards(documents, model, text, lang, column)
-    sent, name = _broadcast(spark, model), uuid.uuid4().hex
-    at_text, at_lang = documents.columns.index(text), documents.columns.index(lang)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        if name not in _tables:
-            _tables.clear()
-            _tables[name] = Table(*sent.value)
-        table = _tables[name]
-        for batch in batches:
-            code = np.array([table.langs.get(x, -1) for x in batch.column(at_lang).to_pylist()], np.int64)
-            body, off = texthash.utf8(batch.column(at_text))
-            out, top = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
-            for a, b in texthash.slices(off, SLICE_BYTES):
-                k, at = grams(body[off[a] : off[b]], off[a : b + 1] - off[a])
-                of_doc = np.maximum(code[a:b], 0).astype(np.uint64)
-                lp = table.log_p(k, np.repeat(of_doc, np.diff(at)))
-                full = np.flatnonzero(np.diff(at))
-                if len(full):
-                    out[a:b][full] = -np.add.reduceat(lp, at[:-1][full]) / np.diff(at)[full]
-                    top[a:b] = peaks(-lp, at)
-            values = [pa.array(x, pa.float64(), mask=(code < 0) | np.isnan(x)) for x in (out, top)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, column, f"{column}_peak"])
-        texthash.give_back()
-
-    return documents.mapInArrow(scored, T.StructType([*documents.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (column, f"{column}_peak")]]))
-
+def _values(wanted: DataFrame, model: DataFrame) -> DataFrame:
+    """(label, gram, value): log p of distinct n-grams, by joins with the model's shards.
 
-def score_by_shards(documents: DataFrame, model: DataFrame, text: str, lang: str, column: str) -> DataFrame:
-    """The same by joins of each document's distinct n-grams with the model's shards."""
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = store.free_prefix(documents)
-    rows = store.cut(documents.repartition(parts).withColumn(f"{p}row", F.monotonically_increasing_id()), "rows")
+    From the highest order down: a seen n-gram's probability closes it, an unseen
+    one adds the weight of its context, if that was seen, and goes on with its suffix.
+    """
+    found = wanted.select("label", "gram", F.lit(0.0).alias("value"), F.lit(True).alias("open"))
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, off = texthash.utf8(batch.column(2))
-            for i in range(batch.num_rows):
-                k, _ = grams(body[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
-                if not len(k):
-                    continue
-                keys, n = np.unique(k, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column(0)[i].as_py())), pa.array([batch.column(1)[i].as_py()] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "lang", "k", "n"])
-
-    langs = model.select("lang").distinct()
-    known = rows.join(F.broadcast(langs.withColumnRenamed("lang", f"{p}known")), F.col(lang) == F.col(f"{p}known"), "left_semi")
-    found = known.select(f"{p}row", F.col(lang), F.col(text)).mapInArrow(listed, "row bigint, lang string, k bigint, n bigint")
-    found = found.groupBy("lang", "k", "row").agg(F.sum("n").alias("n"))
-    found = found.withColumns({"value": F.lit(0.0), "open": F.lit(True)})
-
-    def add(found: DataFrame, kind: int, gram: Column, closes: bool) -> DataFrame:
-        part = model.where(F.col("kind") == kind).select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("value").alias("v"))
-        met = found.withColumn("gram", gram).join(part, (F.col("lang") == F.col("l")) & (F.col("gram") == F.col("g")), "left")
+    def add(found: DataFrame, kind: int, part: Column, closes: bool) -> DataFrame:
+        shard = model.where(F.col("kind") == kind).select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("value").alias("v"))
+        met = found.withColumn("part", part).join(shard, (F.col("label") == F.col("l")) & (F.col("part") == F.col("g")), "left")
         value = F.col("value") + F.when(F.col("open"), F.coalesce("v", F.lit(0.0))).otherwise(0.0)
-        return met.select("lang", "k", "row", "n", value.alias("value"), (F.col("open") & F.col("v").isNull() if closes else F.col("open")).alias("open"))
+        return met.select("label", "gram", value.alias("value"), (F.col("open") & F.col("v").isNull() if closes else F.col("open")).alias("open"))
 
-    found = add(found, ORDER, F.col("k"), True)
+    found = add(found, ORDER, F.col("gram"), True)
     for order in range(ORDER - 1, -1, -1):
         if order:
-            whole = F.col("k") if order == ORDER - 1 else F.col("k").bitwiseAND(_mask(order + 1))
+            whole = F.col("gram") if order == ORDER - 1 else F.col("gram").bitwiseAND(_mask(order + 1))
             found = add(found, 10 + order, F.shiftrightunsigned(whole, 16), False)
-        found = add(found, order, F.col("k").bitwiseAND(_mask(order)), True)
-    sums = found.groupBy(F.col("row").alias(f"{p}at")).agg((-F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias(column), F.collect_list("k").alias(f"{p}ks"), F.collect_list("value").alias(f"{p}values"))
-    met = rows.join(sums, F.col(f"{p}row") == F.col(f"{p}at"), "left").select(*documents.columns, column, f"{p}ks", f"{p}values")
-    at_text = documents.columns.index(text)
+        found = add(found, order, F.col("gram").bitwiseAND(_mask(order)), True)
+    return found.where(~F.col("open")).select("label", "gram", "value")
 
-    def peaked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def score(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, str]) -> DataFrame:
+    """``documents`` with the log perplexity of each text and its peak's.
+
+    ``labels``: for each column that names a document's model (null: none) the column
+    that gets the log perplexity; the peak's goes to that with ``_peak`` behind it.
+    Both are null without a model.
+
+    Documents are dealt to blocks of about BLOCK_BYTES of text.  A block lists its
+    distinct n-grams; these are joined to the model's shards; and the block gets
+    back the values of its own.  So neither a model nor a document's n-grams have
+    to fit anywhere, and texts move once.
+    """
+    spark, p = documents.sparkSession, store.free_prefix(documents)
+    store.small_batches(spark)
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20))
+    block = F.pmod(F.xxhash64(*[c for c, t in documents.dtypes if "map" not in t]), F.lit(blocks)).cast("int")
+    placed = documents.withColumn(f"{p}block", block).repartition(blocks, f"{p}block")
+
+    def parts(texts: pa.Array, groups: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Slices (first, last) of texts with their n-grams, offsets, and each n-gram's group."""
+        body, off = texthash.utf8(texts)
+        for a, b in texthash.slices(off, SLICE_BYTES):
+            k, at = grams(body[off[a] : off[b]], off[a : b + 1] - off[a])
+            yield a, b, k, at, [np.repeat(g[a:b], np.diff(at)) for g in groups]
+
+    def coded(names: list, known: dict) -> np.ndarray:
+        """Numbers of names; a null has none."""
+        return np.array([-1 if None in (x if isinstance(x, tuple) else (x,)) else known.setdefault(x, len(known)) for x in names], np.int64)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, int] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            body, off = texthash.utf8(batch.column(at_text))
-            top = np.full(batch.num_rows, np.nan)
-            for i in range(batch.num_rows):
-                if batch.column(batch.num_columns - 2)[i].is_valid:
-                    keys, values = (batch.column(batch.num_columns - j)[i].values.to_numpy(zero_copy_only=False) for j in (2, 1))
-                    by_key = np.argsort(keys)
-                    k, at = grams(body[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
-                    top[i] = peaks(-values[by_key][np.searchsorted(keys[by_key], k.view(np.int64))], at)[0]
-            kept = batch.columns[: batch.num_columns - 2]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(top, pa.float64(), mask=np.isnan(top))], names=[*batch.schema.names[: len(kept)], f"{column}_peak"])
+            where = batch.column(1).to_pylist()
+            groups = [coded(list(zip(where, batch.column(2 + i).to_pylist(), strict=True)), known) for i in range(len(labels))]
+            for _, _, k, _, of in parts(batch.column(0), groups):
+                for own in of:
+                    for g in np.unique(own):
+                        if g >= 0:
+                            mine = held.setdefault(int(g), [])
+                            mine.append(np.unique(k[own == g]))
+                            if len(mine) > 16:
+                                held[int(g)] = [np.unique(np.concatenate(mine))]
+        for (where, label), g in known.items():
+            keys = np.unique(np.concatenate(held.pop(g, [np.zeros(0, np.uint64)])))
+            for i in range(0, len(keys), 100_000):
+                part = keys[i : i + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), where, np.int32)), pa.array([label] * len(part), pa.string()), pa.array(part)], names=["block", "label", "gram"])
+        texthash.give_back()
 
-    return met.mapInArrow(peaked, T.StructType([*documents.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (column, f"{column}_peak")]]))
+    own = placed.select(text, f"{p}block", *labels)
+    # One shuffle for both uses: the distinct n-grams, and what each block gets back.
+    wanted = own.mapInArrow(listed, "block int, label string, gram bigint").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "gram")
+    values = _values(wanted.select("label", "gram").distinct(), model)
+    back = wanted.join(values, ["label", "gram"]).select("block", "label", "gram", "value")
+    added = [f"{c}{end}" for c in labels.values() for end in ("", "_peak")]
+    names = documents.columns
+    at_text, at_labels = names.index(text), [names.index(c) for c in labels]
+
+    def scored(docs: pa.Table, values: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        known: dict[str, int] = {}
+        of_value = coded(values["label"].to_pylist(), known)
+        grams_, logs = values["gram"].to_numpy().view(np.uint64), values["value"].to_numpy()
+        tables = {}
+        for g in known.values():
+            mine = np.flatnonzero(of_value == g)
+            mine = mine[np.argsort(grams_[mine], kind="stable")]
+            tables[g] = grams_[mine], logs[mine]
+        out = []
+        for batch in docs.select(names).to_batches():
+            groups = [np.array([known.get(x, -1) for x in batch.column(i).to_pylist()], np.int64) for i in at_labels]
+            found = [np.full(batch.num_rows, np.nan) for _ in added]
+            for a, b, k, at, of in parts(batch.column(at_text), groups):
+                full = np.flatnonzero(np.diff(at))
+                for i, own in enumerate(of):
+                    lp = np.zeros(len(k))
+                    for g in np.unique(own):
+                        if g >= 0:
+                            keys, logged = tables[int(g)]
+                            mine = own == g
+                            lp[mine] = logged[np.searchsorted(keys, k[mine])]
+                    if len(full):
+                        found[2 * i][a:b][full] = -np.add.reduceat(lp, at[:-1][full]) / np.diff(at)[full]
+                        found[2 * i + 1][a:b] = peaks(-lp, at)
+            masked = [pa.array(x, pa.float64(), mask=np.isnan(x) | (groups[i // 2] < 0)) for i, x in enumerate(found)]
+            out.append(pa.RecordBatch.from_arrays([*batch.columns, *masked], names=[*names, *added]))
+        texthash.give_back()
+        return pa.Table.from_batches(out) if out else pa.table({n: [] for n in [*names, *added]})
+
+    schema = T.StructType([*documents.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
+    return placed.groupBy(f"{p}block").cogroup(back.groupBy("block")).applyInArrow(scored, schema)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -329,28 +301,21 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col(key).isNotNull()).select(F.col(key).alias("trusted_id")).distinct()
 
 
-def _semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("trusted_id"), "left_semi")
-
-
 def adjusted(log_ppl: Column, chars: Column, mean: Column) -> Column:
     """The log perplexity with PRIOR characters of the language's mean added."""
     return (log_ppl * chars + PRIOR * mean) / (chars + PRIOR)
 
 
-def thresholds(scored: DataFrame, held: DataFrame, ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(of_lang, mean, most, most_peak): a language's mean log perplexity, and the adjusted one and the peak above which documents are rejected.
 
-    ``scored``: id, lang, log_ppl, log_ppl_peak, chars; ``held``: lang and log_ppl_peak of trusted documents, scored out of sample.
+    ``scored``: lang, chars, own (log perplexity), own_peak, and for trusted documents
+    ``held_peak``, by a model of the other folds, if there is one.
     """
-    known = _semi(scored, ids, "id").where("log_ppl IS NOT NULL").withColumnRenamed("lang", "of_lang")
-    means = known.groupBy("of_lang").agg((F.sum(F.col("log_ppl") * F.col("chars")) / F.sum("chars")).alias("mean"))
-    met = known.join(F.broadcast(means), "of_lang").select("of_lang", "mean", adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean")).alias("x"), "log_ppl_peak")
-    found = met.groupBy("of_lang", "mean").agg(F.percentile_approx("x", quantile, 10_000).alias("most"), F.percentile_approx("log_ppl_peak", quantile, 10_000).alias("own_peak"))
-    peak = held.groupBy(F.col("lang").alias("held_lang")).agg(F.percentile_approx("log_ppl_peak", quantile, 10_000).alias("held_peak"))
-    found = found.join(peak, F.col("of_lang") == F.col("held_lang"), "left")
-    return store.cut(found.select("of_lang", "mean", "most", F.coalesce("held_peak", "own_peak").alias("most_peak")), "thresholds")
+    known = scored.where("trusted AND own IS NOT NULL").select(F.col("lang").alias("of_lang"), "chars", F.col("own").alias("x"), F.when(F.col("held").isNull(), F.col("own_peak")).otherwise(F.col("held_peak")).alias("peak"))
+    means = known.groupBy("of_lang").agg((F.sum(F.col("x") * F.col("chars")) / F.sum("chars")).alias("mean"))
+    met = known.join(F.broadcast(means), "of_lang").withColumn("x", adjusted(F.col("x"), F.col("chars"), F.col("mean")))
+    return store.cut(met.groupBy("of_lang", "mean").agg(F.percentile_approx("x", quantile, 10_000).alias("most"), F.percentile_approx("peak", quantile, 10_000).alias("most_peak")), "thresholds")
 
 
 def within_limits(own: Column, most: Column, peak: Column, most_peak: Column) -> Column:
@@ -358,40 +323,43 @@ def within_limits(own: Column, most: Column, peak: Column, most_peak: Column) ->
     return F.coalesce(own <= most, F.lit(True)) & F.coalesce(peak <= most_peak, F.lit(True))
 
 
-def _trained(documents: DataFrame, labels: DataFrame, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The trusted ids, the model of their documents, and these as scored by models of the other folds."""
-    slim = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    ids = store.cut(trusted_ids(labels), "trusted")
-    trusted = _semi(slim, ids, "id").where("lang IS NOT NULL").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("string"))
-    # Models are trained together: that of all text of a language under "=" and its name, that without a fold under the fold and its name.
-    without = [F.when(F.col("fold") != str(f), F.concat(F.lit(str(f)), "lang")) for f in range(FOLDS)]
-    models = train(trusted.select(F.explode(F.array_compact(F.array(F.concat(F.lit("="), "lang"), *without))).alias("lang"), "text"))
-    whole = F.col("lang").startswith("=")
-    held = score(trusted.withColumn("other", F.concat("fold", "lang")), models.where(~whole), "text", "other", "log_ppl")
-    return ids, models.where(whole).withColumn("lang", F.expr("substr(lang, 2)")), held.select("lang", "log_ppl_peak")
+def measured(documents: DataFrame, labels: DataFrame, key: str, text: str, lang: str, p: str) -> DataFrame:
+    """``documents`` with, under ``p``: trusted, chars, own, own_peak, held, held_peak.
+
+    Models are trained together: that of all trusted text of a language is named by
+    "=" and the language, that without a fold by the fold and the language.
+    """
+    ids = store.cut(trusted_ids(labels), "trusted").withColumnRenamed("trusted_id", f"{p}id")
+    marked = documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(key) == F.col(f"{p}id"), "left")
+    trusted = F.col(f"{p}id").isNotNull()
+    fold = F.pmod(F.xxhash64(F.col(text)), F.lit(FOLDS)).cast("string")
+    marked = marked.select(*documents.columns, trusted.alias(f"{p}trusted"), F.length(text).alias(f"{p}chars"), F.concat(F.lit("="), F.col(lang)).alias(f"{p}whole"), F.when(trusted, F.concat(fold, F.col(lang))).alias(f"{p}other"))
+    taught = marked.where(F.col(f"{p}other").isNotNull()).select(F.col(f"{p}other").alias("lang"), F.col(text).alias("text"))
+    own_fold, name = F.expr("left(lang, 1)"), F.expr("substr(lang, 2)")
+    teaches = F.array_compact(F.array(F.concat(F.lit("="), name), *[F.when(own_fold != str(f), F.concat(F.lit(str(f)), name)) for f in range(FOLDS)]))
+    return score(marked, train(taught, teaches), text, {f"{p}whole": f"{p}own", f"{p}other": f"{p}held"})
+
+
+MEASURES = ["trusted", "chars", "own", "own_peak", "held", "held_peak"]
 
 
 def judge(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """A row a document: id, lang, perplexity, adjusted perplexity, peak, their thresholds, kept."""
-    ids, model, held = _trained(documents, labels, key, text, lang)
     slim = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    scored = score(slim, model, "text", "lang", "log_ppl")
-    scored = store.cut(scored.select("id", "lang", "log_ppl", "log_ppl_peak", F.length("text").alias("chars")), "scored")
-    met = scored.join(F.broadcast(thresholds(scored, held, ids, quantile)), F.col("lang") == F.col("of_lang"), "left")
-    own, peak = adjusted(F.col("log_ppl"), F.col("chars"), F.col("mean")), F.col("log_ppl_peak")
+    scored = store.cut(measured(slim, labels, "id", "text", "lang", "__").select("id", "lang", *[F.col(f"__{c}").alias(c) for c in MEASURES]), "scored")
+    met = scored.join(F.broadcast(thresholds(scored, quantile)), F.col("lang") == F.col("of_lang"), "left")
+    own, peak = adjusted(F.col("own"), F.col("chars"), F.col("mean")), F.col("own_peak")
     kept = within_limits(own, F.col("most"), peak, F.col("most_peak"))
-    shown = [F.exp(c).alias(name) for c, name in ((F.col("log_ppl"), "perplexity"), (own, "adjusted_perplexity"), (F.col("most"), "threshold"), (peak, "peak"), (F.col("most_peak"), "peak_threshold"))]
+    shown = [F.exp(c).alias(name) for c, name in ((F.col("own"), "perplexity"), (own, "adjusted_perplexity"), (F.col("most"), "threshold"), (peak, "peak"), (F.col("most_peak"), "peak_threshold"))]
     return met.select(F.col("id").alias(key), "lang", *shown, kept.alias("kept"))
 
 
 def reject(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """The documents that are above neither threshold of their language, with all their columns."""
-    ids, model, held = _trained(documents, labels, key, text, lang)
     p = store.free_prefix(documents)
-    log_ppl, peak, chars = F.col(f"{p}log_ppl"), F.col(f"{p}log_ppl_peak"), F.col(f"{p}chars")
-    scored = store.cut(score(documents, model, text, lang, f"{p}log_ppl").withColumn(f"{p}chars", F.length(text)), "scored")
-    slim = scored.select(F.col(key).alias("id"), F.col(lang).alias("lang"), log_ppl.alias("log_ppl"), peak.alias("log_ppl_peak"), chars.alias("chars"))
-    limits = thresholds(slim, held, ids, quantile).select(*[F.col(c).alias(p + c) for c in ("of_lang", "mean", "most", "most_peak")])
+    scored = store.cut(measured(documents, labels, key, text, lang, p).select(*documents.columns, *[p + c for c in MEASURES]), "scored")
+    limits = thresholds(scored.select(F.col(lang).alias("lang"), *[F.col(p + c).alias(c) for c in MEASURES]), quantile)
+    limits = limits.select(*[F.col(c).alias(p + c) for c in limits.columns])
     met = scored.join(F.broadcast(limits), F.col(lang) == F.col(f"{p}of_lang"), "left")
-    own = adjusted(log_ppl, chars, F.col(f"{p}mean"))
-    return met.where(within_limits(own, F.col(f"{p}most"), peak, F.col(f"{p}most_peak"))).select(*documents.columns)
+    own = adjusted(F.col(f"{p}own"), F.col(f"{p}chars"), F.col(f"{p}mean"))
+    return met.where(within_limits(own, F.col(f"{p}most"), F.col(f"{p}own_peak"), F.col(f"{p}most_peak"))).select(*documents.columns)

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import reachable
+from ..session import reachable, shared_dir
 
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lanternfish-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def free_prefix(df: DataFrame) -> str:
     """A prefix that no column of ``df`` has, for helper columns beside all of its own."""
     prefix = "__"
@@ -42,7 +32,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lanternfish/{what}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lanternfish/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -56,8 +50,10 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table of this run through Hadoop's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written here; results that still read them are lost.
+
+    Results are plans over such tables, so only who has used them up can tell when.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -283,8 +284,6 @@ def test_plan_places_every_piece_once():
 
 
 def test_encoder_equals_the_tokenizer():
-    import random
-
     r, encoder = random.Random(4), pattern_packing.IdEncoder(TOKENIZER)
     assert encoder.fast is not None
     letters = [*"ab1'st! \n\t\r\x85\xa0 　\x1c​é中½ſK🙂<|", *[" "] * 8, "'re", "<|endoftext|>", "\n\n", " \n"]
@@ -361,8 +360,8 @@ def test_foreign_texts_go_and_clean_ones_stay(spark):
     assert len(kept) >= 0.999 * docs.where("text RLIKE '[a-zA-Z]'").count()
 
 
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney over characters, by the book: p(context, character)."""
+def plain_costs(texts):
+    """Interpolated modified Kneser-Ney over characters, by the book: -log p of each character of a text."""
     padded = [[kneser_ney.START] * 3 + [32 if c in "\t\r\x0b\x0c" else min(ord(c), 0xFFFF) for c in t] for t in texts]
     counts = {4: collections.Counter(tuple(p[i - 3 : i + 1]) for p in padded for i in range(3, len(p)))}
     for n in (3, 2, 1):
@@ -387,19 +386,57 @@ def plain_model(texts):
         x = counts[n].get(g, 0)
         return (x - d[min(x, 3) - 1] if x else 0) / sum(seen) + gamma * p(g[1:])
 
-    return lambda t: -sum(np.log(p(tuple(q[i - 3 : i + 1]))) for q in [[kneser_ney.START] * 3 + [min(ord(c), 0xFFFF) for c in t]] for i in range(3, len(q))) / len(t)
+    return lambda t: [-float(np.log(p(tuple(q[i - 3 : i + 1])))) for q in [[kneser_ney.START] * 3 + [min(ord(c), 0xFFFF) for c in t]] for i in range(3, len(q))]
 
 
 def test_perplexity_equals_the_textbook(spark, documents):
     train = [r.text for r in documents.where("lang = 'de'").orderBy("doc_id").limit(12).collect()]
     tests = train[:2] + ["völlig neu!! QQ", "z", "日本 x"]
     model = kneser_ney.train(spark.createDataFrame([("de", t) for t in train], "lang string, text string"))
-    docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate(tests)], "i int, text string, lang string")
-    by_table = {r.i: r.z for r in kneser_ney.score(docs, model, "text", "lang", "z").collect()}
-    by_join = {r.i: r.z for r in kneser_ney.score(docs, model, "text", "lang", "z", 0).collect()}
-    plain = plain_model(train)
+    docs = spark.createDataFrame([(i, t, "de", "xx" if i % 2 else None) for i, t in enumerate(tests)], "i int, text string, lang string, other string")
+    got = {r.i: r for r in kneser_ney.score(docs, model, "text", {"lang": "z", "other": "y"}).collect()}
+    plain = plain_costs(train)
     for i, t in enumerate(tests):
-        assert by_table[i] == pytest.approx(plain(t)) and by_join[i] == pytest.approx(plain(t))
+        assert got[i].z == pytest.approx(np.mean(plain(t))) and got[i].y is None and got[i].y_peak is None
+
+
+def test_verdicts_equal_brute_force(spark, monkeypatch):
+    """Folds, thresholds and ``kept`` again, by textbook models of each fold."""
+    monkeypatch.setattr(kneser_ney, "QUANTILE", 0.9)
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 2000)
+    r = random.Random(6)
+    words = {"aa": ["ban", "ana", "nab", "bana", "an"], "bb": ["tok", "kot", "ot", "koto", "tokt"]}
+    rows = [(i, " ".join(r.choices(words[lang], k=r.randint(1, 30))) + (" zqx!zq" if i % 11 == 5 else ""), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "ban", None), (1003, "ban", "cc"), (1004, "zz", "aa")]
+    good = [i for i, _, _ in rows if i % 3 == 0 and i % 11 != 5] + [1000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(2, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    folds = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(kneser_ney.FOLDS)).alias("f")).collect()}
+
+    def mean_cost(model, t):
+        return sum(model(t)) / len(t)
+
+    def peak(model, t):
+        cost, w = model(t), kneser_ney.WINDOW
+        return max((sum(cost[i : i + w]) / w for i in range(len(cost) - w + 1)), default=None)
+
+    want = {i: True for i, _, _ in rows}
+    for lang in words:
+        taught = [(i, t) for i, t, x in rows if x == lang and i in good and t]
+        whole = plain_costs([t for _, t in taught])
+        held = {f: plain_costs([t for i, t in taught if folds[i] != f]) for f in range(kneser_ney.FOLDS)}
+        costs = [(mean_cost(whole, t), len(t)) for i, t in taught]
+        mean = sum(c * n for c, n in costs) / sum(n for _, n in costs)
+        adjust = lambda c, n, mean=mean: (c * n + kneser_ney.PRIOR * mean) / (n + kneser_ney.PRIOR)
+        at = lambda xs: sorted(xs)[int(np.ceil(0.9 * len(xs))) - 1]
+        most, most_peak = at([adjust(c, n) for c, n in costs]), at([x for i, t in taught if (x := peak(held[folds[i]], t)) is not None])
+        for i, t, x in rows:
+            if x == lang and t:
+                top = peak(whole, t)
+                want[i] = adjust(mean_cost(whole, t), len(t)) <= most and (top is None or top <= most_peak)
+    got = {x.doc_id: x.kept for x in kneser_ney.judge(docs, labels, quantile=0.9).collect()}
+    assert got == want and 10 < sum(not k for k in want.values()) < 80
+    assert {x.doc_id for x in kneser_ney.reject(docs, labels, quantile=0.9).collect()} == {i for i, k in want.items() if k}
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
@@ -426,9 +463,8 @@ def test_peaks_are_windows_within_a_text(spark):
     train = ["abcab cabba bcabc", "cab abc bac abcba"]
     model = kneser_ney.train(spark.createDataFrame([("de", t) for t in train], "lang string, text string"))
     docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate([*train, "abc zzzzzz cab", "ab", "", None])], "i int, text string, lang string")
-    by_table, by_join = ({x.i: x.z_peak for x in kneser_ney.score(docs, model, "text", "lang", "z", *n).collect()} for n in ((), (0,)))
-    assert by_table[2] > by_table[0] and by_table[3] is by_table[4] is by_table[5] is None
-    assert by_join == pytest.approx(by_table)
+    got = {x.i: x.z_peak for x in kneser_ney.score(docs, model, "text", {"lang": "z"}).collect()}
+    assert got[2] > got[0] and got[3] is got[4] is got[5] is None
 
 
 def test_raking_meets_its_targets(spark):
