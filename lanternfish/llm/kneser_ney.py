@@ -9,9 +9,12 @@ the trusted documents (labelled good and not toxic), all of them.
    suffix: counts of counts give each language three discounts per order, context
    totals the interpolation weights, and the next lower order (whose counts are
    the numbers of distinct letters in front) the rest.
-3. Documents are scored in blocks: a block's distinct n-grams are joined to the
-   shards of the table, and the block gets their values back.  No table goes to
-   the driver or to all tasks, whatever its size.
+3. Documents are scored against the table.  It grows with the n-grams that a
+   language has, which level off, and not with the corpus; if it has at most
+   TABLE_ROWS rows it goes to every task, and no text is shuffled.  Beyond that
+   documents are dealt to blocks: a block's distinct n-grams are joined to the
+   table's shards, and the block gets their values back.  Both ways give the same
+   numbers; the second moves every text once.
 4. A short text's perplexity says little, so it is drawn to the mean of the
    language's trusted text, which counts as PRIOR further characters.  As a mean
    over a long text hides a few bad words, a text's peak is judged too: the
@@ -34,6 +37,7 @@ ignored by ``judge`` and kept by ``reject``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +52,10 @@ ORDER = 4
 PRIOR = 64
 QUANTILE = 0.995
 WINDOW = 6
-FOLDS = 4
-BLOCK_BYTES = 24 << 20
+FOLDS = 2
+#: Rows of a model (15 bytes each, 60 MB in all) that go to every task as they are.
+TABLE_ROWS = 4_000_000
+BLOCK_BYTES = 64 << 20
 #: Ids that are sent to every task rather than joined by a shuffle: 8 bytes each.
 BROADCAST_IDS = 500_000
 HELD = 500_000
@@ -201,25 +207,134 @@ def _values(wanted: DataFrame, model: DataFrame) -> DataFrame:
     return found.where(~F.col("open")).select("label", "gram", "value")
 
 
-def score(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, str]) -> DataFrame:
+class Table:
+    """The model as one open-addressing table: 64-bit mixed keys and log values."""
+
+    def __init__(self, langs: list[str], kind: np.ndarray, lang: np.ndarray, gram: np.ndarray, value: np.ndarray):
+        self.langs = {x: i for i, x in enumerate(langs)}
+        keys = self.key(kind, lang, gram)
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys, self.values = (keys, value) if len(keys) else (np.zeros(1, np.uint64), np.zeros(1))
+        place, left = (keys >> U(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = self.slots[place[left]] < 0
+            self.slots[place[left[free]]] = left[free]
+            left = left[self.slots[place[left]] != left]
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+
+    @staticmethod
+    def key(kind, lang, gram: np.ndarray) -> np.ndarray:
+        salt = texthash.mix(np.asarray(kind, np.uint64) * U(0x9E3779B97F4A7C15) + np.asarray(lang, np.uint64) * U(0xC2B2AE3D27D4EB4F) + U(1))
+        return texthash.mix(gram ^ salt)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys, and whether each is there."""
+        value, there = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        place, left = (keys >> U(64 - self.bits)).astype(np.int64), None
+        while True:
+            slot = self.slots[place if left is None else place[left]]
+            hit = (slot >= 0) & (self.keys[slot] == (keys if left is None else keys[left]))
+            at = np.flatnonzero(hit) if left is None else left[hit]
+            value[at], there[at] = self.values[slot[hit]], True
+            on = (slot >= 0) & ~hit
+            left = np.flatnonzero(on) if left is None else left[on]
+            if not len(left):
+                return value, there
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+
+    def log_p(self, k: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        out, there = self.find(self.key(ORDER, lang, k))
+        left = np.flatnonzero(~there)
+        for order in range(ORDER - 1, -1, -1):
+            if not len(left):
+                break
+            context = k[left] >> U(16) if order == ORDER - 1 else (k[left] & U((1 << 16 * (order + 1)) - 1)) >> U(16)
+            if order:
+                out[left] += self.find(self.key(10 + order, lang[left], context))[0]
+            value, there = self.find(self.key(order, lang[left], k[left] & U((1 << 16 * order) - 1)))
+            out[left] += value
+            left = left[~there]
+        return out
+
+
+def _sent(model: DataFrame):
+    """The model in a broadcast variable, language names as numbers; the caller has checked its size."""
+    spark = model.sparkSession
+    langs = sorted(r["lang"] for r in model.select("lang").distinct().collect())
+    number = spark.createDataFrame(list(enumerate(langs)), "number int, name string")
+    t = model.join(F.broadcast(number), F.col("lang") == F.col("name")).select(F.col("kind").cast("tinyint"), F.col("number").cast("smallint"), "gram", F.col("value").cast("float")).toArrow().combine_chunks()
+    return spark.sparkContext.broadcast((langs, *[t[c].to_numpy() for c in ("kind", "number", "gram", "value")]))
+
+
+_tables: dict[str, Table] = {}
+
+
+def _table(name: str, sent) -> Table:
+    if name not in _tables:
+        _tables.clear()
+        langs, kind, lang, gram, value = sent.value
+        _tables[name] = Table(langs, kind, lang, gram.view(np.uint64), value)
+    return _tables[name]
+
+
+def _columns(labels: dict[str, str]) -> list[str]:
+    return [f"{c}{end}" for c in labels.values() for end in ("", "_peak")]
+
+
+def _schema(documents: DataFrame, labels: dict[str, str]) -> T.StructType:
+    return T.StructType([*documents.schema.fields, *[T.StructField(c, T.DoubleType()) for c in _columns(labels)]])
+
+
+def score(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, str], largest: int = TABLE_ROWS) -> DataFrame:
     """``documents`` with the log perplexity of each text and its peak's.
 
     ``labels``: for each column that names a document's model (null: none) the column
     that gets the log perplexity; the peak's goes to that with ``_peak`` behind it.
     Both are null without a model.
-
-    Documents are dealt to blocks of about BLOCK_BYTES of text.  A block lists its
-    distinct n-grams; these are joined to the model's shards; and the block gets
-    back the values of its own.  So neither a model nor a document's n-grams have
-    to fit anywhere, and texts move once.
     """
+    store.small_batches(documents.sparkSession)
+    if model.count() > largest:
+        return score_by_blocks(documents, model, text, labels)
+    sent, name = _sent(model), uuid.uuid4().hex
+    at_text, at_labels = documents.columns.index(text), [documents.columns.index(c) for c in labels]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        table = _table(name, sent)
+        for batch in batches:
+            codes = [np.array([table.langs.get(x, -1) for x in batch.column(i).to_pylist()], np.int64) for i in at_labels]
+            body, off = texthash.utf8(batch.column(at_text))
+            found = [np.full(batch.num_rows, np.nan) for _ in _columns(labels)]
+            for a, b in texthash.slices(off, SLICE_BYTES):
+                k, at = grams(body[off[a] : off[b]], off[a : b + 1] - off[a])
+                full = np.flatnonzero(np.diff(at))
+                for i, code in enumerate(codes):
+                    if len(full) and (code[a:b] >= 0).any():
+                        of = np.repeat(code[a:b], np.diff(at))
+                        lp = np.zeros(len(k))
+                        mine = np.flatnonzero(of >= 0)
+                        lp[mine] = table.log_p(k[mine], of[mine].astype(np.uint64))
+                        found[2 * i][a:b][full] = -np.add.reduceat(lp, at[:-1][full]) / np.diff(at)[full]
+                        found[2 * i + 1][a:b] = peaks(-lp, at)
+            values = [pa.array(x, pa.float64(), mask=(codes[i // 2] < 0) | np.isnan(x)) for i, x in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *_columns(labels)])
+        texthash.give_back()
+
+    return documents.mapInArrow(scored, _schema(documents, labels))
+
+
+def score_by_blocks(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, str]) -> DataFrame:
+    """The same for a table of any size: blocks of about BLOCK_BYTES of text ask the model's shards for their n-grams."""
     spark, p = documents.sparkSession, store.free_prefix(documents)
-    store.small_batches(spark)
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20))
     block = F.pmod(F.xxhash64(*[c for c, t in documents.dtypes if "map" not in t]), F.lit(blocks)).cast("int")
     placed = documents.withColumn(f"{p}block", block).repartition(blocks, f"{p}block")
 
+    names = documents.columns
+    at_text, at_labels = names.index(text), [names.index(c) for c in labels]
+
     def parts(texts: pa.Array, groups: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """Slices (first, last) of texts with their n-grams, offsets, and each n-gram's group."""
         body, off = texthash.utf8(texts)
@@ -235,9 +350,9 @@ def score(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, s
         known: dict[tuple, int] = {}
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            where = batch.column(1).to_pylist()
-            groups = [coded(list(zip(where, batch.column(2 + i).to_pylist(), strict=True)), known) for i in range(len(labels))]
-            for _, _, k, _, of in parts(batch.column(0), groups):
+            where = batch.column(len(names)).to_pylist()
+            groups = [coded(list(zip(where, batch.column(i).to_pylist(), strict=True)), known) for i in at_labels]
+            for _, _, k, _, of in parts(batch.column(at_text), groups):
                 for own in of:
                     for g in np.unique(own):
                         if g >= 0:
@@ -252,14 +367,11 @@ def score(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, s
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), where, np.int32)), pa.array([label] * len(part), pa.string()), pa.array(part)], names=["block", "label", "gram"])
         texthash.give_back()
 
-    own = placed.select(text, f"{p}block", *labels)
-    # One shuffle for both uses: the distinct n-grams, and what each block gets back.
-    wanted = own.mapInArrow(listed, "block int, label string, gram bigint").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "gram")
+    # The texts are shuffled once: both uses of ``placed`` take all of its columns.  So are the n-grams.
+    wanted = placed.mapInArrow(listed, "block int, label string, gram bigint").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "gram")
     values = _values(wanted.select("label", "gram").distinct(), model)
     back = wanted.join(values, ["label", "gram"]).select("block", "label", "gram", "value")
-    added = [f"{c}{end}" for c in labels.values() for end in ("", "_peak")]
-    names = documents.columns
-    at_text, at_labels = names.index(text), [names.index(c) for c in labels]
+    added = _columns(labels)
 
     def scored(docs: pa.Table, values: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
@@ -292,8 +404,7 @@ def score(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, s
         texthash.give_back()
         return pa.Table.from_batches(out) if out else pa.table({n: [] for n in [*names, *added]})
 
-    schema = T.StructType([*documents.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
-    return placed.groupBy(f"{p}block").cogroup(back.groupBy("block")).applyInArrow(scored, schema)
+    return placed.groupBy(f"{p}block").cogroup(back.groupBy("block")).applyInArrow(scored, _schema(documents, labels))
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:

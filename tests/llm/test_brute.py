@@ -394,14 +394,17 @@ def test_perplexity_equals_the_textbook(spark, documents):
     tests = train[:2] + ["völlig neu!! QQ", "z", "日本 x"]
     model = kneser_ney.train(spark.createDataFrame([("de", t) for t in train], "lang string, text string"))
     docs = spark.createDataFrame([(i, t, "de", "xx" if i % 2 else None) for i, t in enumerate(tests)], "i int, text string, lang string, other string")
-    got = {r.i: r for r in kneser_ney.score(docs, model, "text", {"lang": "z", "other": "y"}).collect()}
     plain = plain_costs(train)
-    for i, t in enumerate(tests):
-        assert got[i].z == pytest.approx(np.mean(plain(t))) and got[i].y is None and got[i].y_peak is None
+    for largest in (kneser_ney.TABLE_ROWS, 0):
+        got = {r.i: r for r in kneser_ney.score(docs, model, "text", {"lang": "z", "other": "y"}, largest).collect()}
+        for i, t in enumerate(tests):
+            assert got[i].z == pytest.approx(np.mean(plain(t)), rel=1e-6) and got[i].y is None and got[i].y_peak is None
 
 
-def test_verdicts_equal_brute_force(spark, monkeypatch):
-    """Folds, thresholds and ``kept`` again, by textbook models of each fold."""
+@pytest.mark.parametrize("largest", [kneser_ney.TABLE_ROWS, 0])
+def test_verdicts_equal_brute_force(spark, monkeypatch, largest):
+    """Folds, thresholds and ``kept`` again, by textbook models of each fold; by table and by blocks."""
+    monkeypatch.setattr(kneser_ney.score, "__defaults__", (largest,))
     monkeypatch.setattr(kneser_ney, "QUANTILE", 0.9)
     monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 2000)
     r = random.Random(6)
@@ -463,8 +466,9 @@ def test_peaks_are_windows_within_a_text(spark):
     train = ["abcab cabba bcabc", "cab abc bac abcba"]
     model = kneser_ney.train(spark.createDataFrame([("de", t) for t in train], "lang string, text string"))
     docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate([*train, "abc zzzzzz cab", "ab", "", None])], "i int, text string, lang string")
-    got = {x.i: x.z_peak for x in kneser_ney.score(docs, model, "text", {"lang": "z"}).collect()}
+    got, by_block = ({x.i: x.z_peak for x in kneser_ney.score(docs, model, "text", {"lang": "z"}, n).collect()} for n in (kneser_ney.TABLE_ROWS, 0))
     assert got[2] > got[0] and got[3] is got[4] is got[5] is None
+    assert all(by_block[i] == (x and pytest.approx(x, rel=1e-6)) for i, x in got.items())
 
 
 def test_raking_meets_its_targets(spark):
