@@ -166,7 +166,8 @@ def forest(reps: DataFrame, depth: int) -> DataFrame:
     width = BYTES * depth
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * width + 1, F.lit(width)).alias("key")))
     rows = reps.select("node", F.explode(trees).alias("t")).select("node", "t.tree", "t.key").withColumn("region", _region(F.col("tree"), F.col("key"), FIRST_DEPTH))
-    heads = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
+    # Written, so that the join reads plain shuffles and a region of many nodes can be split.
+    heads = store.cut(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "heads")
     return store.cut(rows.join(heads, "region"), "forest")
 
 
@@ -270,6 +271,7 @@ def mixed_regions(trees: DataFrame, groups: DataFrame, levels: list[int]) -> Dat
     found = []
     for depth in levels:
         heads = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region", "n")
+        heads = store.cut(heads, "heads")
         met = store.cut(rows.join(heads, "region").withColumn("depth", F.lit(depth)), "regions")
         found.append(met if depth == levels[-1] else met.where(F.col("n") <= REGION))
         rows = met.where(F.col("n") > REGION).select("node", "comp", "tree", "key", _region(F.col("tree"), F.col("key"), depth + 1).alias("region"))
