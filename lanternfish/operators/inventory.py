@@ -291,9 +291,9 @@ def stale_keys(state: DataFrame, gate: DataFrame, running: bool = False) -> Data
 
 
 def first_labelled(rows: DataFrame, n: int = 10) -> DataFrame:
-    """The first sessions of ``labelled`` that a text report shows, by id, and when they were active in the session's time zone."""
+    """The first sessions of ``labelled`` that a text report shows, by id, and the day they were active in the session's time zone (``-`` if that is not known)."""
     day = F.date_format(F.timestamp_seconds("last_activity"), "yyyy-MM-dd")
-    return rows.orderBy("id").limit(n).select("id", "label", "title", F.coalesce(day, F.lit("-")).alias("day"))
+    return rows.orderBy("id", "label", "title").limit(n).select("id", "label", "title", F.coalesce(day, F.lit("-")).alias("day"))
 
 
 def span_shown(spans: DataFrame) -> DataFrame:

@@ -284,7 +284,7 @@ ORACLES = {
     "session_summaries": SUMMARIES,
     "stale_keys": f"SELECT key, bytes FROM ({GUI}) WHERE stale",
     "deletable_ids": f"{PLAN_SQL} SELECT id FROM plan UNION SELECT CAST(user_id AS VARCHAR) FROM events WHERE user_id % 9 = 0 UNION SELECT sid FROM ({LEFTOVERS})",
-    "first_labelled": f"SELECT id, label, title, strftime(make_timestamp(CAST(last_activity * 1000000 AS BIGINT)), '%Y-%m-%d') AS day FROM ({LABELLED}) ORDER BY id LIMIT 10",
+    "first_labelled": f"SELECT id, label, title, coalesce(strftime(make_timestamp(CAST(last_activity * 1000000 AS BIGINT)), '%Y-%m-%d'), '-') AS day FROM ({LABELLED}) ORDER BY id LIMIT 10",
     "span_days": f"SELECT strftime(make_timestamp(CAST(min(least(created, last_activity)) * 1000000 AS BIGINT)), '%Y-%m-%d') || ' → ' || strftime(make_timestamp(CAST(max(greatest(created, last_activity)) * 1000000 AS BIGINT)), '%Y-%m-%d') AS span FROM ({SESSIONS})",
     "tier_lookup": f"{CLASSIFIED} SELECT id, coalesce(tier, 'judge') AS tier FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events) LEFT JOIN classified USING (id)",
     "session_inventory": f"WITH {ROWS_SQL} SELECT * FROM inv",
