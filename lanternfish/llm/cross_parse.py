@@ -17,16 +17,18 @@ smallest hash of their id, SAMPLE_CHARS characters of each at most.  It is the
 only part that does not cover all rows, and its size does not depend on them.
 
 ``reject`` also drops texts in none of the languages: those that need more than
-FOREIGN times the phrases per letter that the winner's own documents need on
-average, over all documents that are labelled with it and judged to be in it.
-As a short text's rate says little, PRIOR letters at that average are added to it.
+FOREIGN times the phrases per letter that the winner's own documents usually need:
+the median over all documents that are labelled with it and judged to be in it, so
+that a few very long or repetitive ones do not count for more, and at least USUAL,
+as a small table's documents are their own sample and need hardly any.  As a short
+text's rate says little, PRIOR letters at the usual rate are added to it.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 so is every text if nothing can be learned.  With one learned language its score
 is 1.  Ties go to the language that sorts first.  A null id counts as learnable.
 Repeated rows give repeated rows.  Extra columns are ignored by ``identify`` and
 kept by ``reject``.  ``reject`` drops ``und`` documents; a language that no
-document is both labelled with and judged to be in has no average and keeps its own.
+document is both labelled with and judged to be in has no usual rate and keeps its own.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 FOREIGN = 2.2
 PRIOR = 16
+USUAL = 0.125
 
 
 @lru_cache(maxsize=1)
@@ -265,7 +268,7 @@ def reject(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
     rows = store.cut(documents.mapInArrow(parsed, schema), "parsed")
     won, phrases, size = (F.col(c) for c in added)
     # A row a learned language.
-    usual = rows.where(F.col(lang) == won).groupBy(won.alias(f"{p}of")).agg((F.sum(phrases) / F.sum(size)).alias(f"{p}usual"))
+    usual = rows.where(F.col(lang) == won).groupBy(won.alias(f"{p}of")).agg(F.greatest(F.percentile_approx(phrases / size, 0.5), F.lit(USUAL)).alias(f"{p}usual"))
     met = rows.where(won != UNKNOWN).join(F.broadcast(usual), won == F.col(f"{p}of"), "left")
     mean = F.col(f"{p}usual")
     native = (phrases + PRIOR * mean) / (size + PRIOR) <= FOREIGN * mean

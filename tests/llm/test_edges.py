@@ -64,6 +64,22 @@ def test_stages(spark, nasty, nothing, labels, tmp_path, name, stage):
     assert stage(spark, nothing, str(tmp_path)).collect() == []
 
 
+def test_what_stages_keep(spark, nasty, labels, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda name: [r.doc_id for r in stages[name](spark, nasty, str(tmp_path)).collect()]
+    spoken = ids("language_id")
+    assert not {0, 1, 2} & set(spoken) and spoken.count(9) == 3 and 10 in spoken
+    good = ids("quality")
+    assert {0, 1, 2, 5} <= set(good) and good.count(9) in (0, 3)
+    left = ids("near_dedup")
+    assert 10 not in left and left.count(9) == 3 and left.count(None) == 1 and {0, 1, 2, 3, 4} <= set(left)
+    drawn = ids("mixture")
+    assert drawn.count(9) in (0, 3)
+    packed = ids("packing")
+    assert {None, 0, 1, 10} <= set(packed) and packed.count(9) == 3
+
+
 def test_pages(spark):
     kind = "page_id long, url string, html string, host string, rule string, record_type string"
     rows = [(1, None, None, "h", "r", "x"), (2, "no scheme", "", None, None, None), (3, "http://A.Example.ORG/es/x?y#z", "<p>é</p>", "", "", ""), (4, "http://e.com", "<p>é</p>", "", "", ""), (None, "http://x y.com/ a", "<p>é</p>", "", "", ""), (3, "http://A.Example.ORG/es/x?y#z", "<p>é</p>", "", "", ""), (7, "http://" + "a/" * 50_000, "b" * 300_000 + "\r\n\r\nWARC/1.0\r\n", "", "", "")]
