@@ -1,7 +1,9 @@
 """The corpus pipeline: five of the operators in a row over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``.  Repeated rows share
+their fate, columns of any other name pass through, and an empty table gives no
+rows.  What a stage does with nulls is said at the stage.
 """
 
 from __future__ import annotations
@@ -16,27 +18,27 @@ from lanternfish.session import read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language go on."""
+    """Documents in a learned language go on; a text that is null, empty or without a letter goes."""
     return cross_parse.reject(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their language's perplexity threshold go on."""
+    """Documents within their language's perplexity thresholds go on, and so do those without text, language or trusted text in it."""
     return kneser_ney.reject(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) goes on."""
+    """One document of each group of near copies (five words, 0.8) goes on, that with the smallest id, and all rows without an id or without words."""
     return lsh_forest.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn by their calibrated probabilities."""
+    """Documents are drawn by their calibrated probabilities; a null source or language is a class of its own, and all rows without an id are drawn alike."""
     return raking.mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, with their places in sequences."""
+    """The pieces of all documents left, with their places in sequences; a null text is an empty one."""
     return pattern_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
