@@ -159,11 +159,11 @@ SELECT *, sessions_total - sessions_blocked - sessions_review AS sessions_clean,
 
 
 def scalar_functions(spark, sf):
-    rows = view(spark, sf, "SELECT o_orderkey, o_custkey, o_orderdate, CAST(o_orderkey * o_custkey AS BIGINT) AS n FROM orders")
+    rows = view(spark, sf, "SELECT o_orderkey, o_custkey, o_orderdate, CAST(CASE WHEN o_orderkey % 10 = 3 THEN -1 ELSE 1 END * o_orderkey * o_custkey AS BIGINT) AS n FROM orders")
     return rows.select("o_orderkey", scalars.fmt_bytes(F.col("n")).alias("shown"), scalars.snapshot_name(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 3).alias("name"), scalars.norm_title(F.concat(F.lit("A-"), F.col("o_orderkey").cast("string"), F.lit(" é!"))).alias("title"))
 
 
-SCALARS = """WITH r AS (SELECT o_orderkey, o_orderdate, o_orderkey * o_custkey AS n FROM orders)
+SCALARS = """WITH r AS (SELECT o_orderkey, o_orderdate, greatest(CASE WHEN o_orderkey % 10 = 3 THEN -1 ELSE 1 END * o_orderkey * o_custkey, 0) AS n FROM orders)
 SELECT o_orderkey, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS shown,
   strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || CASE WHEN o_orderkey % 3 > 0 THEN '-' || CAST(o_orderkey % 3 AS VARCHAR) ELSE '' END AS name, 'a' || CAST(o_orderkey AS VARCHAR) AS title FROM r"""
 
@@ -176,7 +176,7 @@ def target_dispatch(spark, sf):
     return rows.select("doc_id", files.target_type(F.col("path"), F.encode("body", "UTF-8")).alias("type"))
 
 
-DISPATCH = "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) OR doc_id % 5 = 0 THEN 'sqlite' WHEN doc_id % 5 = 1 THEN 'binary' ELSE 'text' END AS type FROM documents"
+DISPATCH = f"""SELECT doc_id, CASE WHEN regexp_matches(lower(path), '[^/]\\.(db|sqlite|sqlite3)$') OR starts_with(body, 'SQLite format 3~NUL~') THEN 'sqlite' WHEN contains(substr(body, 1, 8192), '~NUL~') THEN 'binary' ELSE 'text' END AS type FROM ({NAMED.replace("chr(0)", "'~NUL~'")})"""
 NAMES = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2024-01-01_d' || CAST(doc_id AS STRING) || '.md' WHEN 1 THEN 'j' || CAST(doc_id AS STRING) || '.json' ELSE 'n.md' END AS name,
   CASE doc_id % 3 WHEN 1 THEN '{"session_id": "q' || CAST(doc_id AS STRING) || '"}' WHEN 2 THEN 'title' || chr(10) || 'session_id: m' || CAST(doc_id AS STRING) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS body FROM documents"""
 
@@ -185,7 +185,8 @@ def export_ids(spark, sf):
     return view(spark, sf, NAMES).select("doc_id", scalars.export_session_id(F.col("name"), F.col("body")).alias("session_id"))
 
 
-EXPORT_IDS = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'q' ELSE 'm' END || CAST(doc_id AS VARCHAR) AS session_id FROM documents"
+EXPORT_IDS = f"""SELECT doc_id, coalesce(CASE WHEN lower(name) LIKE '%.json' AND json_valid(body) THEN nullif(json_extract_string(body, '$.session_id'), '') WHEN lower(name) LIKE '%.md' THEN nullif(regexp_extract(substr(body, 1, 4096), '(?m)^session_id:\\s*(\\S+)\\s*$', 1), '') END,
+  nullif(regexp_extract(regexp_replace(name, '\\.[^./]+$', ''), '^\\d{{4}}-\\d{{2}}-\\d{{2}}_(.+)$', 1), '')) AS session_id FROM ({NAMES})"""
 
 QUERIES = {
     "target_dispatch": target_dispatch,

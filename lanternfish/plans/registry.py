@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backups, detection, sessions, streams
+from . import backups, detection, inputs, sessions, streams
 
-MODULES = [detection, sessions, backups, streams]
+MODULES = [detection, sessions, backups, inputs, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
