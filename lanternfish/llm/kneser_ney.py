@@ -18,7 +18,9 @@ the trusted documents (labelled good and not toxic), all of them.
 4. A short text's perplexity says little, so it is drawn to the mean of the
    language's trusted text, which counts as PRIOR further characters.  As a mean
    over a long text hides a few bad words, a text's peak is judged too: the
-   highest perplexity of any WINDOW characters in a row.
+   highest perplexity of any WINDOW characters in a row that are all letters or
+   stand between words.  Numbers, addresses and signs surprise in good texts as
+   well; with them in, they would set the threshold, and bad words pass below it.
 5. The thresholds of a language are the QUANTILE of the adjusted perplexities and
    that of the peaks of its trusted documents.  For the peaks each trusted document
    is scored by a model of the other folds, as any 4-gram that it alone has is no
@@ -28,7 +30,7 @@ the trusted documents (labelled good and not toxic), all of them.
 
 Defined results: a null or empty text, or one whose language is null or has no
 trusted text, has no perplexity and is kept, as nothing speaks against it.  A text
-of fewer than WINDOW characters has no peak.  A language whose trusted text is all
+without WINDOW such characters in a row has no peak.  A language whose trusted text is all
 in one fold takes its peaks from the whole model.  Trusted means at least
 one label row says so.  Repeated rows give repeated rows, and count as often in
 training.  Characters beyond the basic plane count as one.  Extra columns are
@@ -37,6 +39,7 @@ ignored by ``judge`` and kept by ``reject``.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +65,9 @@ HELD = 500_000
 SLICE_BYTES = 512 << 10
 START, ASTRAL = 2, 0xFFFF
 U = np.uint64
+BETWEEN = " \n.,;:!?'\u2019-"
+#: For each character whether it is a letter, a mark on one, or stands between words.
+PLAIN = np.array([unicodedata.category(chr(c))[0] in "LM" or chr(c) in BETWEEN for c in range(1 << 16)])
 
 
 def grams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +90,13 @@ def grams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[own], at
 
 
-def peaks(cost: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The highest mean cost of WINDOW characters in a row of each text; nan for shorter texts."""
+def plain(k: np.ndarray) -> np.ndarray:
+    """Whether the last character of each n-gram may be in a peak."""
+    return PLAIN[(k & U(ASTRAL)).astype(np.int64)]
+
+
+def peaks(cost: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The highest mean cost of WINDOW characters in a row, all of them ``ok``, of each text; nan for texts without."""
     size, out = np.diff(at), np.full(len(at) - 1, np.nan)
     long = np.flatnonzero(size >= WINDOW)
     if len(long):
@@ -93,9 +104,13 @@ def peaks(cost: np.ndarray, at: np.ndarray) -> np.ndarray:
         np.cumsum(cost, out=total[1:])
         mean = np.full(len(cost), -np.inf)
         mean[: len(cost) - WINDOW + 1] = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+        other = np.zeros(len(cost) + 1, np.int64)
+        np.cumsum(~ok, out=other[1:])
+        mean[: len(cost) - WINDOW + 1][other[WINDOW:] > other[:-WINDOW]] = -np.inf
         for j in range(1, WINDOW):  # windows that reach into the next text
             mean[at[1:][size >= j] - j] = -np.inf
         out[long] = np.maximum.reduceat(mean, at[:-1][size > 0])[size[size > 0] >= WINDOW]
+        out[np.isneginf(out)] = np.nan
     return out
 
 
@@ -316,7 +331,7 @@ def score(documents: DataFrame, model: DataFrame, text: str, labels: dict[str, s
                         mine = np.flatnonzero(of >= 0)
                         lp[mine] = table.log_p(k[mine], of[mine].astype(np.uint64))
                         found[2 * i][a:b][full] = -np.add.reduceat(lp, at[:-1][full]) / np.diff(at)[full]
-                        found[2 * i + 1][a:b] = peaks(-lp, at)
+                        found[2 * i + 1][a:b] = peaks(-lp, at, plain(k))
             values = [pa.array(x, pa.float64(), mask=(codes[i // 2] < 0) | np.isnan(x)) for i, x in enumerate(found)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *_columns(labels)])
         texthash.give_back()
@@ -398,7 +413,7 @@ def score_by_blocks(documents: DataFrame, model: DataFrame, text: str, labels: d
                             lp[mine] = logged[np.searchsorted(keys, k[mine])]
                     if len(full):
                         found[2 * i][a:b][full] = -np.add.reduceat(lp, at[:-1][full]) / np.diff(at)[full]
-                        found[2 * i + 1][a:b] = peaks(-lp, at)
+                        found[2 * i + 1][a:b] = peaks(-lp, at, plain(k))
             masked = [pa.array(x, pa.float64(), mask=np.isnan(x) | (groups[i // 2] < 0)) for i, x in enumerate(found)]
             out.append(pa.RecordBatch.from_arrays([*batch.columns, *masked], names=[*names, *added]))
         texthash.give_back()

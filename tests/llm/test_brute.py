@@ -409,8 +409,8 @@ def test_verdicts_equal_brute_force(spark, monkeypatch, largest):
     monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 2000)
     r = random.Random(6)
     words = {"aa": ["ban", "ana", "nab", "bana", "an"], "bb": ["tok", "kot", "ot", "koto", "tokt"]}
-    rows = [(i, " ".join(r.choices(words[lang], k=r.randint(1, 30))) + (" zqx!zq" if i % 11 == 5 else ""), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
-    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "ban", None), (1003, "ban", "cc"), (1004, "zz", "aa")]
+    rows = [(i, " ".join(r.choices(words[lang], k=r.randint(1, 30))) + (" zqx!zq" if i % 11 == 5 else " 7=40 ban" if i % 7 == 2 else ""), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "ban", None), (1003, "ban", "cc"), (1004, "zz", "aa"), (1005, "1234567", "bb"), (1006, "ab1ba2nab3", "aa")]
     good = [i for i, _, _ in rows if i % 3 == 0 and i % 11 != 5] + [1000]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(2, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
@@ -421,7 +421,8 @@ def test_verdicts_equal_brute_force(spark, monkeypatch, largest):
 
     def peak(model, t):
         cost, w = model(t), kneser_ney.WINDOW
-        return max((sum(cost[i : i + w]) / w for i in range(len(cost) - w + 1)), default=None)
+        word = [c.isalpha() or c in " .,!?" for c in t]
+        return max((sum(cost[i : i + w]) / w for i in range(len(cost) - w + 1) if all(word[i : i + w])), default=None)
 
     want = {i: True for i, _, _ in rows}
     for lang in words:
@@ -453,7 +454,9 @@ def test_quality_rejects_insults_in_good_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = kneser_ney.judge(docs, labels).join(labels, "doc_id").collect()
     share = lambda q, t: np.mean([not r.kept for r in rows if (r.quality, r.toxic) == (q, t)])
-    assert share(1, 1) >= 0.4 and share(1, 0) <= 0.02 and min(share(0, 0), share(0, 1)) >= 0.93
+    assert share(1, 1) >= 0.6 and share(1, 0) <= 0.02 and min(share(0, 0), share(0, 1)) >= 0.93
+    # Insults are in the English ones alone; the others of that label are ordinary prose.
+    assert np.mean([not r.kept for r in rows if (r.quality, r.toxic, r.lang) == (1, 1, "en")]) >= 0.95
 
 
 def test_peaks_are_windows_within_a_text(spark):
@@ -461,8 +464,11 @@ def test_peaks_are_windows_within_a_text(spark):
     at = np.array([0, 0, 3, 9, 9, 40, 41, 47])
     cost = r.random(at[-1])
     w = kneser_ney.WINDOW
-    want = [max([cost[i : i + w].mean() for i in range(a, b - w + 1)], default=np.nan) for a, b in zip(at[:-1], at[1:], strict=True)]
-    np.testing.assert_allclose(kneser_ney.peaks(cost, at), want)
+    for ok in (np.ones(len(cost), bool), np.arange(len(cost)) % 9 != 4, np.zeros(len(cost), bool)):
+        want = [max([cost[i : i + w].mean() for i in range(a, b - w + 1) if ok[i : i + w].all()], default=np.nan) for a, b in zip(at[:-1], at[1:], strict=True)]
+        np.testing.assert_allclose(kneser_ney.peaks(cost, at, ok), want)
+    k, _ = kneser_ney.grams(np.frombuffer("aé\n1@😀’".encode(), np.uint8), np.array([0, 13]))
+    assert kneser_ney.plain(k).tolist() == [True, True, True, False, False, False, True]
     train = ["abcab cabba bcabc", "cab abc bac abcba"]
     model = kneser_ney.train(spark.createDataFrame([("de", t) for t in train], "lang string, text string"))
     docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate([*train, "abc zzzzzz cab", "ab", "", None])], "i int, text string, lang string")
