@@ -75,12 +75,18 @@ def parse_verdict(text: Column) -> Column:
     return F.when(is_object & answer.isNotNull(), _verdict_words(F.lower(F.trim(answer)))).when(is_object & abstained, F.lit(None).cast("boolean")).otherwise(_verdict_words(t))
 
 
-def fmt_bytes(n: Column) -> Column:
-    """A byte count with a unit: whole bytes, else one decimal; a negative one is none."""
+UNITS = ["KB", "MB", "GB", "TB"]
+
+
+def fmt_bytes(n: Column, largest: str = "TB") -> Column:
+    """A byte count with a unit up to ``largest``: whole bytes, else one decimal of the exact value, ties to even; a negative one is none."""
     n = F.greatest(n, F.lit(0))
     x, shown = n.cast("double"), F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
-    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        shown = F.when(x >= 1024.0**i, F.format_string(f"%.1f {unit}", F.bround(x / 1024.0**i, 1))).otherwise(shown)
+    for i, unit in enumerate(UNITS[: UNITS.index(largest) + 1], 1):
+        size = x / 1024.0**i
+        whole = F.floor(size)
+        tenths = F.rint((size - whole) * 10)  # exact below rint; bround and %.1f round the shortest decimals instead
+        shown = F.when(x >= 1024.0**i, F.format_string(f"%d.%d {unit}", whole + F.floor(tenths / 10), (tenths % 10).cast("int"))).otherwise(shown)
     return shown
 
 

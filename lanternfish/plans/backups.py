@@ -159,8 +159,9 @@ SELECT *, sessions_total - sessions_blocked - sessions_review AS sessions_clean,
 
 
 def scalar_functions(spark, sf):
+    """Sizes in units up to GB, as the SQL has them."""
     rows = view(spark, sf, "SELECT o_orderkey, o_custkey, o_orderdate, CAST(CASE WHEN o_orderkey % 10 = 3 THEN -1 ELSE 1 END * o_orderkey * o_custkey AS BIGINT) AS n FROM orders")
-    return rows.select("o_orderkey", scalars.fmt_bytes(F.col("n")).alias("shown"), scalars.snapshot_name(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 3).alias("name"), scalars.norm_title(F.concat(F.lit("A-"), F.col("o_orderkey").cast("string"), F.lit(" é!"))).alias("title"))
+    return rows.select("o_orderkey", scalars.fmt_bytes(F.col("n"), "GB").alias("shown"), scalars.snapshot_name(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 3).alias("name"), scalars.norm_title(F.concat(F.lit("A-"), F.col("o_orderkey").cast("string"), F.lit(" é!"))).alias("title"))
 
 
 SCALARS = """WITH r AS (SELECT o_orderkey, o_orderdate, greatest(CASE WHEN o_orderkey % 10 = 3 THEN -1 ELSE 1 END * o_orderkey * o_custkey, 0) AS n FROM orders)

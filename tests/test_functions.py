@@ -72,3 +72,19 @@ def test_summaries_and_sizes(spark):
     rows = spark.createDataFrame([("t", "p", -5), ("t", "", 1536), (None, None, 0)], "t string, p string, n long")
     got = [tuple(r) for r in rows.select(scalars.session_summary(F.col("t"), F.col("p")), scalars.fmt_bytes(F.col("n"))).collect()]
     assert got == [("t\n\np", "0 B"), ("t", "1.5 KB"), ("", "0 B")]
+
+
+def test_units_and_ties_of_sizes(spark):
+    from lanternfish.functions import scalars
+
+    sizes = [2**40 - 1, 2**40, 3300000 * 330000, 1280, 1792, 2271645998566605, 2283630675309363, 2251799867371984, 2**63 - 1]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(scalars.fmt_bytes(F.col("n")), scalars.fmt_bytes(F.col("n"), "GB")).collect()
+
+    def shown(n, units):
+        size = float(n)
+        for unit in units:
+            size /= 1024
+            if size < 1024 or unit == units[-1]:
+                return f"{size:.1f} {unit}"
+
+    assert [tuple(r) for r in rows] == [(shown(n, scalars.UNITS), shown(n, scalars.UNITS[:3])) for n in sizes]
