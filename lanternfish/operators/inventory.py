@@ -246,17 +246,18 @@ def span(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.agg(F.min(F.least(*real)).alias("oldest"), F.max(F.greatest(*real)).alias("newest")) if len(real) > 1 else rows.agg(F.min(real[0]).alias("oldest"), F.max(real[0]).alias("newest"))
 
 
-def store_totals(stores: DataFrame) -> DataFrame:
-    """One more row than ``stores`` (name, bytes, recoverable_bytes): the total."""
+def store_totals(stores: DataFrame, largest: str = "TB") -> DataFrame:
+    """One more row than ``stores`` (name, bytes, recoverable_bytes): the total; ``largest`` is the last unit shown."""
     total = stores.agg(F.lit("total").alias("name"), F.sum("bytes").alias("bytes"), F.sum("recoverable_bytes").alias("recoverable_bytes"))
     both = stores.select("name", "bytes", "recoverable_bytes").unionByName(total)
-    return both.withColumn("shown", scalars.fmt_bytes(F.col("recoverable_bytes")))
+    return both.withColumn("shown", scalars.fmt_bytes(F.col("recoverable_bytes"), largest))
 
 
-def space_report(stores: dict[str, DataFrame | str]) -> DataFrame:
+def space_report(stores: dict[str, DataFrame | str], largest: str = "TB") -> DataFrame:
     """A row a store of (bytes, recoverable_bytes) frames of one row; the total last.
 
     A store that could not be read is given by its error, and is a row of no bytes with it.
+    ``largest`` is the last unit shown.
     """
     rows, errors = None, {n: s for n, s in stores.items() if isinstance(s, str)}
     for name, one in stores.items():
@@ -270,7 +271,7 @@ def space_report(stores: dict[str, DataFrame | str]) -> DataFrame:
     why = F.lit(None).cast("string")
     for name, problem in errors.items():
         why = F.when(F.col("name") == name, problem).otherwise(why)
-    return store_totals(rows).withColumn("error", why)
+    return store_totals(rows, largest).withColumn("error", why)
 
 
 def deletable(*ids: DataFrame) -> DataFrame:

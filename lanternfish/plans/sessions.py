@@ -186,12 +186,13 @@ CLEANUP = f"""SELECT tier, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(items)
 
 
 def space_report(spark, sf):
+    """Sizes in units up to GB, as the SQL has them."""
     est, state = byte_estimates(spark, sf), gui_state(spark, sf)
     freed = deletable_bytes(spark, sf).select(F.col("bytes").alias("recoverable_bytes"))
     store = est.agg(F.sum("bytes").alias("bytes")).join(freed)
     locks = view(spark, sf, LEFT_FILES).agg(F.sum("bytes").alias("bytes")).join(leftovers(spark, sf).agg(F.sum("bytes").alias("recoverable_bytes")))
     gui = state.agg(F.sum("bytes").alias("bytes"), F.lit(0).alias("recoverable_bytes"))
-    return inv.space_report({"sessions": store, "locks": locks, "gui state": gui, "messages": "database is locked"})
+    return inv.space_report({"sessions": store, "locks": locks, "gui state": gui, "messages": "database is locked"}, "GB")
 
 
 SPACE = f"""WITH s AS (SELECT 'sessions' AS name, (SELECT sum(bytes) FROM ({ESTIMATES})) AS bytes, (SELECT bytes FROM ({DELETABLE})) AS recoverable_bytes
